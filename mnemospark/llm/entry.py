@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, decontam, minhash, mixing, sharding
 from .common import table
 
 MIX = mixing.MixPlan(
@@ -24,6 +24,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), "doc_id", "text", shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,7 +56,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op8_shard_documents, op9_chat_format)}
+    return {f.__name__: f for f in (op4_mix_sources, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format)}
 
 
 def _in(names: tuple[str, ...]) -> str:
@@ -95,5 +106,33 @@ OP9_SQL = f"""
     SELECT conv_id, n AS n_turns, sha256(a) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM g"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+
+OP6_SQL = rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= {minhash.SHINGLE} THEN list_distinct(list_transform(range(1, len(w) - {minhash.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {minhash.SHINGLE - 1}], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+    x AS (SELECT doc_id, hash(unnest(s)) AS g FROM s),
+    n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= {minhash.PERCENT} * (u.n + v.n - c)),
+    r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node),
+    k AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+    SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN k USING (doc_id)"""
+
+OP7_SQL = rf"""
+    WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    n AS (SELECT *, least(len(w), {decontam.WINDOW}) AS n FROM i WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM n)),
+    d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT d.*, m.n, unnest(range(1, len(w) - m.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) m WHERE len(w) >= m.n)),
+    h AS (SELECT doc_id, k, g.n, item_id FROM g JOIN win USING (n, g)),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS a FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(a, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _mix_sql(MIX), "op9_chat_format": OP9_SQL}
+    return {"op4_mix_sources": _mix_sql(MIX), "op6_minhash_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_chat_format": OP9_SQL}
