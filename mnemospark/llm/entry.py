@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, mixing, sharding
+from . import bsi_topk, chat, decontam, minhash, mixing, sharding
 from .common import table
 
 MIX = mixing.MixPlan(
@@ -20,6 +20,10 @@ MIX = mixing.MixPlan(
 )
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bsi_topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX)
 
@@ -56,7 +60,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format)}
+    return {f.__name__: f for f in (op1_topk_search, op4_mix_sources, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format)}
 
 
 def _in(names: tuple[str, ...]) -> str:
@@ -109,6 +113,14 @@ OP9_SQL = f"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 
+OP1_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
 OP6_SQL = rf"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS (SELECT doc_id, CASE WHEN len(w) >= {minhash.SHINGLE} THEN list_distinct(list_transform(range(1, len(w) - {minhash.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {minhash.SHINGLE - 1}], ' ')))
@@ -135,4 +147,4 @@ OP7_SQL = rf"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": _mix_sql(MIX), "op6_minhash_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_topk_search": OP1_SQL, "op4_mix_sources": _mix_sql(MIX), "op6_minhash_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_chat_format": OP9_SQL}
