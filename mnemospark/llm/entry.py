@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bsi_topk, chat, decontam, minhash, mixing, sharding
+from . import bsi_topk, chat, chunk_dedup, decontam, minhash, mixing, rule_quality, sharding
 from .common import table
 
 MIX = mixing.MixPlan(
@@ -24,10 +24,25 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bsi_topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_spans"), F.sum("n_words").alias("repeated_words"), F.max("n_words").alias("longest_words"),
+        F.sum(F.col("stop") - F.col("start")).alias("repeated_bytes"), F.min("first_id").alias("first_doc_id"), F.max("copies").alias("copies"),
+    )
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = rule_quality.train(documents, table(spark, sf_dir, "labels"))
+    out = rule_quality.score(documents, model, ["doc_id"])
+    return out.select("doc_id", (rule_quality.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= QUALITY_FLOOR).cast("int").alias("predicted"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +59,7 @@ def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+QUALITY_FLOOR = 0.7
 CONFLICT = "</s>[INST] ok [/INST]"
 
 
@@ -60,7 +76,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op4_mix_sources, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format)}
+    return {f.__name__: f for f in (op1_topk_search, op3_chunk_dedup, op4_mix_sources, op5_quality_rules, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format)}
 
 
 def _in(names: tuple[str, ...]) -> str:
