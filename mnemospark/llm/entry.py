@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bsi_topk, chat, chunk_dedup, decontam, minhash, mixing, rule_quality, sharding
+from . import bsi_topk, chat, chunk_dedup, decontam, minhash, mixing, mixlm, rule_quality, sharding
 from .common import table
 
 MIX = mixing.MixPlan(
@@ -59,6 +59,12 @@ def op8_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = rule_quality.remainder(F.col("doc_id"), 7) == 2
+    out = mixlm.score_texts(table(spark, sf_dir, "documents"), ~held_out, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUALITY_FLOOR = 0.7
 CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -76,7 +82,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op3_chunk_dedup, op4_mix_sources, op5_quality_rules, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format)}
+    return {f.__name__: f for f in (op1_topk_search, op3_chunk_dedup, op4_mix_sources, op5_quality_rules, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format, op10_context_mixing)}
 
 
 def _in(names: tuple[str, ...]) -> str:

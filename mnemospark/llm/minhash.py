@@ -7,9 +7,9 @@
 4.  In every bucket, all members are compared to two hubs (the smallest id, and the smallest seeded
     hash of an id): first by signature, then on the full sets.  Confirmed links give components by
     alternating large-star and small-star.
-5.  What is left are pairs of one bucket in different components.  All members outside a bucket's
-    largest component are compared to all members of its other components, so no link is lost,
-    while a group of copies costs a number of comparisons in proportion to its size.
+5.  What is left are pairs of one bucket in different components.  Buckets with several components
+    make up regions; members outside a region's largest component are compared to all its members,
+    in blocks, through an inverted index of the full sets.  So no link is lost, and no list of pairs is made.
 
 With ``ROWS`` minima a band and ``BANDS`` bands, a pair of similarity s shares a bucket with probability
 1 - (1 - s^ROWS)^BANDS: at 0.75, all but 5 in a million.  Signatures rule a pair out below
@@ -21,18 +21,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import arrow_map, materialise
+from .common import arrow_map, materialise, ship
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
 SIGNATURE_FLOOR = 0.56
 PERCENT = 75
+#: Texts in a block of what stars leave over, and shingles indexed at once.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _RNG = np.random.default_rng(20240607)
 _PLACES = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,6 +165,62 @@ def _confirm(pairs: DataFrame, signed: DataFrame, texts: DataFrame, name: str) -
     return materialise(arrow_map(both.select("u", "v", "x", "y"), _linked, "u long, v long"), f"{name}-links")
 
 
+def _rest(split: DataFrame, texts: DataFrame, regions: DataFrame) -> DataFrame:
+    """Links between components of a region; materialised.
+
+    Members outside a region's largest component are probes.  Probes and members are dealt into blocks, and
+    each pair of blocks is one task's work, which emits a link for each probe and component, not each pair.
+    """
+    members = split.select("id", "c").distinct().join(regions.select("id", F.col("component").alias("region")), "id")
+    parts = members.groupBy("region", "c").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+    whole = whole.select("region", F.col("top.c").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("probing"))
+    members = members.join(whole, "region")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = members.filter("c <> largest").withColumn("p", deal("probing")).withColumn("b", every("blocks"))
+    members = members.withColumn("b", deal("blocks")).withColumn("p", every("probing"))
+    keys = ["region", "p", "b"]
+    sides = [x.select(*keys, "id", "c").join(texts, "id").groupBy(*keys) for x in (probes, members)]
+    ship(split.sparkSession)
+    return materialise(sides[0].cogroup(sides[1]).applyInPandas(_probe, "u long, v long"), "rest-links")
+
+
+def _probe(probes: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    found: list[tuple[int, int]] = []
+    if len(probes) and len(members):
+        asked = [(int(probes["id"].iloc[i]), int(probes["c"].iloc[i]), x) for i, x in sets_of(pa.array(probes["text"], pa.string()))]
+        ids, comps = members["id"].to_numpy(np.int64), members["c"].to_numpy(np.int64)
+        done: set[tuple[int, int]] = set()
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        texts = sets_of(pa.array(members["text"], pa.string()))
+        while True:
+            nxt = next(texts, None)
+            if nxt is not None:
+                held.append(nxt)
+                size += len(nxt[1])
+            if held and (nxt is None or size > BLOCK_SHINGLES):
+                at = np.array([i for i, _ in held])
+                sizes = np.array([len(x) for _, x in held])
+                keys = np.concatenate([x for _, x in held])
+                order = np.argsort(keys, kind="stable")
+                keys, owner = keys[order], np.repeat(np.arange(len(held)), sizes)[order]
+                for u, c, x in asked:
+                    a, b = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+                    n = b - a
+                    places = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    both = np.bincount(owner[places], minlength=len(held))
+                    for k in np.flatnonzero((100 * both >= PERCENT * (len(x) + sizes - both)) & (both > 0) & (comps[at] != c)).tolist():
+                        if (u, int(comps[at[k]])) not in done:
+                            done.add((u, int(comps[at[k]])))
+                            found.append((u, int(ids[at[k]])))
+                held, size = [], 0
+            if nxt is None:
+                break
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` (smallest id of the component) of every id in ``links`` (u, v).
 
@@ -209,14 +268,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _confirm(pairs, reps, texts, "stars")
     found = components(links)
 
-    # Pairs of a bucket that stars left in different components.
+    # What stars left in different components of one bucket: regions of such buckets, compared in blocks.
     mine = shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")).distinct()
-    parts = mine.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "c"))["c"].alias("largest"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    split = materialise(mine.join(largest, "bucket").select("bucket", "id", "c", (F.col("c") != F.col("largest")).alias("small")), "split")
-    rest = split.filter("small").select("bucket", F.col("id").alias("u"), F.col("c").alias("d")).join(split, "bucket").filter("c <> d and (not small or id < u)")
-    rest = rest.select(F.greatest("u", "id").alias("u"), F.least("u", "id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    links = links.unionByName(_confirm(rest, reps, texts, "rest"))
+    split = mine.groupBy("bucket").agg(F.min("id").alias("lead"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b")
+    split = materialise(mine.join(split.select("bucket", "lead"), "bucket").select("id", "lead", "c"), "split")
+    links = links.unionByName(_rest(split, texts, components(split.select(F.col("id").alias("u"), F.col("lead").alias("v")))))
 
     # A row belongs to the component of its set's smallest id; an id with several texts ties their sets together.
     member = filled.join(sets.select("digest", "rep"), "digest").select("id", "rep").distinct()
