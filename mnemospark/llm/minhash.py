@@ -181,7 +181,7 @@ def _rest(split: DataFrame, texts: DataFrame, regions: DataFrame) -> DataFrame:
     probes = members.filter("c <> largest").withColumn("p", deal("probing")).withColumn("b", every("blocks"))
     members = members.withColumn("b", deal("blocks")).withColumn("p", every("probing"))
     keys = ["region", "p", "b"]
-    sides = [x.select(*keys, "id", "c").join(texts, "id").groupBy(*keys) for x in (probes, members)]
+    sides = [x.select(*keys, "id", "c").join(texts, "id").select(*(F.col(k).alias(k) for k in (*keys, "id", "c", "text"))).groupBy(*keys) for x in (probes, members)]
     ship(split.sparkSession)
     return materialise(sides[0].cogroup(sides[1]).applyInPandas(_probe, "u long, v long"), "rest-links")
 
