@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bsi_topk, chat, chunk_dedup, decontam, minhash, mixing, mixlm, rule_quality, sharding
+from . import bsi_topk, chat, chunk_dedup, decontam, minhash, mixing, mixlm, rule_quality, sharding, template_extract
 from .common import table
 
 MIX = mixing.MixPlan(
@@ -24,6 +24,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bsi_topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
 
 
+def op2_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = template_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return spans.groupBy("doc_id").agg(
@@ -82,7 +87,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op3_chunk_dedup, op4_mix_sources, op5_quality_rules, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format, op10_context_mixing)}
+    return {f.__name__: f for f in (op1_topk_search, op2_extract_main_text, op3_chunk_dedup, op4_mix_sources, op5_quality_rules, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format, op10_context_mixing)}
 
 
 def _in(names: tuple[str, ...]) -> str:
