@@ -196,6 +196,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     Test sets are small beside a corpus, but their size is held: an automaton has
     ``AUTOMATON_WORDS`` words at most (one item may be longer), and further items get further automata in the same pass.
     """
+    shared = _broadcast(docs, items, window)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return arrow_map(source, _scanner(shared, window), f"id {dict(source.dtypes)['id']}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
+
+
+def _broadcast(docs: DataFrame, items: DataFrame, window: int) -> list:
     spark = docs.sparkSession
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("k"), "text").distinct().orderBy("k", "text").toLocalIterator()
     groups: list[list[tuple[str, list[bytes]]]] = [[]]
@@ -208,32 +214,38 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 size = 0
             groups[-1].append((r["k"], ws))
             size += len(ws)
-    shared = [spark.sparkContext.broadcast(g) for g in groups]
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(source, _scanner(shared, window), f"id {dict(source.dtypes)['id']}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
-
+    return [spark.sparkContext.broadcast(g) for g in groups]
 
 _BUILT: dict = {}
 
 
+def _automata(key: str, shared: list, window: int) -> list[tuple[SuffixAutomaton, np.ndarray]]:
+    """Built once in a Python worker, not once a task."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        built = [SuffixAutomaton(b.value, window) for b in shared]
+        _BUILT[key] = [(a, _known_hashes(a)) for a in built]
+    return _BUILT[key]
+
+
+def _scan_all(texts: pa.Array, automata: list[tuple[SuffixAutomaton, np.ndarray]]) -> tuple[list[int], list, list, list[set[str]]]:
+    n = len(texts)
+    n_words, ranges, spans, items = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)]
+    for automaton, known in automata:
+        for i, count, found, where, owners in scan_batch(texts, automaton, known):
+            n_words[i] = count
+            ranges[i] += found
+            spans[i] += where
+            items[i] |= {automaton.names[k] for k in owners}
+    return n_words, ranges, spans, items
+
+
 def _scanner(shared: list, window: int):
-    key = uuid.uuid4().hex  # automata are built once in a Python worker, not once a task
+    key = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:
-            _BUILT.clear()
-            built = [SuffixAutomaton(b.value, window) for b in shared]
-            _BUILT[key] = [(a, _known_hashes(a)) for a in built]
         for batch in batches:
-            texts = batch.column(1)
-            n = batch.num_rows
-            n_words, ranges, spans, items = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)]
-            for automaton, known in _BUILT[key]:
-                for i, count, found, where, owners in scan_batch(texts, automaton, known):
-                    n_words[i] = count
-                    ranges[i] += found
-                    spans[i] += where
-                    items[i] |= {automaton.names[k] for k in owners}
+            n_words, ranges, spans, items = _scan_all(batch.column(1), _automata(key, shared, window))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -246,3 +258,36 @@ def _scanner(shared: list, window: int):
             )
 
     return scan
+
+
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", max_share: float = 0.5) -> DataFrame:
+    """``docs`` with every span that windows of test items cover cut out of its text.
+
+    Rows of which windows cover more than ``max_share`` of the words go whole; clean rows pass as
+    they are (a null text stays null).  What stood on both sides of a cut is parted by a blank.
+    """
+    shared = _broadcast(docs, items, window)
+    at = docs.columns.index(text_col)
+    return arrow_map(docs, _cutter(shared, window, at, max_share), docs.schema)
+
+
+def _cutter(shared: list, window: int, at: int, max_share: float):
+    key = uuid.uuid4().hex
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            n_words, ranges, spans, _ = _scan_all(texts, _automata(key, shared, window))
+            keep, out = [True] * batch.num_rows, texts.to_pylist()
+            for i in range(batch.num_rows):
+                if ranges[i]:
+                    keep[i] = sum(b - a for a, b in _covered(ranges[i])) <= max_share * n_words[i]
+                    raw, last, parts = out[i].encode(), 0, []
+                    for a, b in _covered(spans[i]):
+                        parts.append(raw[last:a])
+                        last = b
+                    out[i] = b" ".join([*parts, raw[last:]]).decode("utf-8", "replace")
+            columns = [pa.array(out, texts.type) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+    return cut

@@ -282,3 +282,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = first.select("id", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n_shingles").join(label, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each component: of its smallest id (of rows of one id, one stays; rows of a null id all stay)."""
+    flags = near_duplicates(df, id_col, text_col).filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    flags = materialise(flags.filter("not kept or n > 1"), "flags")
+    once = df.join(flags.select(id_col), id_col, "left_anti")
+    again = df.join(flags.filter("kept").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    return once.unionByName(again).select(*df.columns)

@@ -129,3 +129,11 @@ def select_prefix(d: DataFrame, plan: MixPlan) -> DataFrame:
     d = d.withColumn("before", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     taken = F.greatest(F.least(F.col("n_tokens"), F.col("part") - F.col("before")), F.lit(0))
     return d.select("doc_id", *leaf, "n_tokens", "epochs", taken.alias("taken")).filter("epochs > 0 or taken > 0")
+
+
+def mixed_rows(df: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """Rows of ``df`` as often as the mixture passes them; the document in which a leaf's prefix ends stays whole.  Ids must be unique."""
+    chosen = mix(df, plan, id_col, text_col, lang_col, source_col)
+    chosen = chosen.groupBy("doc_id").agg(F.max(F.col("epochs") + (F.col("taken") > 0).cast("long")).alias("_times")).withColumnRenamed("doc_id", id_col)
+    out = df.join(chosen, id_col)
+    return (out.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))) if plan.max_epochs > 1 else out).select(*df.columns)

@@ -271,3 +271,8 @@ def score(df: DataFrame, model: RuleModel, keep: list[str], text_col: str = "tex
     repeated rows equal scores, an empty table no rows.  Names of other columns don't matter."""
     out = with_statistics(df, keep, text_col)
     return out.select(*(F.col(f"_kept_{c}").alias(c) for c in keep), model.column().alias("score"))
+
+
+def keep_good(df: DataFrame, model: RuleModel, floor: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` whose score is ``floor`` or more."""
+    return score(df, model, df.columns, text_col).filter(F.col("score") >= floor).select(*df.columns)

@@ -118,3 +118,16 @@ def shuffle_into_shards(df: DataFrame, id_col: str, text_col: str, shards: int =
         .join(before, ["shard", "cell"])
         .select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"))
     )
+
+
+def sharded_rows(df: DataFrame, id_col: str, text_col: str, shards: int = 16, seed: int = 20240131) -> DataFrame:
+    """``df`` with ``shard`` and ``slot``.  Rows of one id and text are numbered, so that each meets a slot of its own."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = ["_size", "_crc", "_nth"]
+    nth = lambda order: F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(*order))
+    left = df.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_size": (F.octet_length(text) + 1).cast("long"), "_crc": F.crc32(text.cast("binary"))})
+    left = left.withColumn("_nth", nth([F.lit(0)]))
+    right = shuffle_into_shards(df, id_col, text_col, shards, seed)
+    right = right.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    right = right.withColumn("_nth", nth(["shard", "slot"]))
+    return left.join(right, ["_id", *keys]).select(*df.columns, "shard", "slot")
