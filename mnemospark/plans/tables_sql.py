@@ -75,8 +75,8 @@ g AS (SELECT DISTINCT gram FROM wg),
 seen AS (SELECT id, field, gram, (length(text) - length(replace(text, gram, ''))) / length(gram) AS tf, len FROM f, g WHERE contains(text, gram)),
 df AS (SELECT field, gram, count(*) AS df FROM seen GROUP BY ALL),
 idf AS (SELECT field, word, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM wg JOIN df USING (gram) JOIN size USING (field) GROUP BY ALL),
-m AS (SELECT s.id, s.field, x.word, min(tf) AS tf, min(len) AS len FROM seen s JOIN (SELECT DISTINCT word, gram FROM wg) x USING (gram) GROUP BY ALL
-  HAVING count(*) = (SELECT count(DISTINCT y.gram) FROM wg y WHERE y.word = x.word)),
+x AS (SELECT word, gram, count(*) OVER (PARTITION BY word) AS need FROM (SELECT DISTINCT word, gram FROM wg)),
+m AS (SELECT s.id, s.field, x.word, min(tf) AS tf, min(len) AS len FROM seen s JOIN x USING (gram) GROUP BY s.id, s.field, x.word, need HAVING count(*) = need),
 bm AS (SELECT w.qid, m.id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM m JOIN idf USING (field, word) JOIN size USING (field) JOIN w USING (word) GROUP BY ALL),
 txt_all AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm)"""
 

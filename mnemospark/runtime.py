@@ -47,6 +47,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a table of few files would keep most idle; on a large table this does nothing."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def against_requests(rows: DataFrame, requests: DataFrame, condition: Column | Callable[[], Column] | None = None) -> DataFrame:
     """Every row beside every request that meets ``condition``.
 
