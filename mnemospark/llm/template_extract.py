@@ -162,10 +162,14 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
     nested: dict[int, Counter] = {}
 
     def close(name: str) -> None:
+        """Ends the nearest open element of the name; paragraphs and inline elements are not ended across a block."""
+        narrow = name == "p" or name in _INLINE
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 del stack[i:]
                 return
+            if narrow and stack[i][0] != "p" and stack[i][0] not in _INLINE:
+                return
 
     for k, (kind, name, marks) in enumerate(read):
         if k in framed:
@@ -176,8 +180,8 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
         if kind == "start":
             if name not in _INLINE:
                 opened = True
-            if name == "p" and any(s[0] == "p" for s in stack):
-                close("p")
+                if name not in _VOID:
+                    close("p")
             if name == "li" and stack and stack[-1][0] == "li":
                 close("li")
             if name not in _VOID:
