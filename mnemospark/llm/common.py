@@ -1,64 +1,20 @@
-"""Shared plumbing: reading tables, materialising intermediate results, wrapping batches."""
+"""Shared plumbing: reading tables, and Arrow functions over batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..runtime import materialise, shared_dir, ship
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The session names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) is a temporary folder created and remembered in the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("mnemospark.local.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="mnemospark-")
-        spark.conf.set("mnemospark.local.checkpoint.dir", path)
-    return path.rstrip("/")
-
+__all__ = ["arrow_map", "materialise", "shared_dir", "ship", "table"]
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs the tasks it ran, not a recomputation of the
-    plan above, and no block lives on one executor's disk alone.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemospark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for an application: they needn't have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="mnemospark-")) / "mnemospark_package.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for f in sorted(package.rglob("*.py")):
-            out.write(f, f.relative_to(package.parent).as_posix())
-    context.addPyFile(str(path))
-    _SHIPPED.add(context.applicationId)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
