@@ -252,7 +252,7 @@ def test_model_is_a_distribution():
 def test_scores(spark, docs):
     rows = sample_rows(120)
     held = lambda: rule_quality.remainder(F.col("doc_id"), 7) == 2
-    got = mixlm.score_texts(docs(rows).drop("score"), ~held(), ["doc_id", "text"], hot=20).collect()
+    got = mixlm.score_texts(docs(rows).drop("score"), ~held(), ["doc_id", "text"], hot_events=20, hot_tokens=10).collect()
     toks = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     c = Counter(x for i, t, *_ in rows if not out(i) for x in toks(t))
