@@ -266,13 +266,13 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit(x, got["_kept__label"].to_numpy())
 
 
-def score(df: DataFrame, model: RuleModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``score``, for every row: null and empty texts get the score of an empty text,
+def score(df: DataFrame, model: RuleModel, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """Columns ``keep`` (other than ``name``) and the score, for every row: null and empty texts get the score of an empty text,
     repeated rows equal scores, an empty table no rows.  Names of other columns don't matter."""
     out = with_statistics(df, keep, text_col)
-    return out.select(*(F.col(f"_kept_{c}").alias(c) for c in keep), model.column().alias("score"))
+    return out.select(*(F.col(f"_kept_{c}").alias(c) for c in keep), model.column().alias(name))
 
 
 def keep_good(df: DataFrame, model: RuleModel, floor: float, text_col: str = "text") -> DataFrame:
     """Rows of ``df`` whose score is ``floor`` or more."""
-    return score(df, model, df.columns, text_col).filter(F.col("score") >= floor).select(*df.columns)
+    return score(df, model, df.columns, text_col, "_quality_score").filter(F.col("_quality_score") >= floor).select(*df.columns)

@@ -121,7 +121,8 @@ def shuffle_into_shards(df: DataFrame, id_col: str, text_col: str, shards: int =
 
 
 def sharded_rows(df: DataFrame, id_col: str, text_col: str, shards: int = 16, seed: int = 20240131) -> DataFrame:
-    """``df`` with ``shard`` and ``slot``.  Rows of one id and text are numbered, so that each meets a slot of its own."""
+    """``df`` with ``shard`` and ``slot`` (in place of columns of these names).  Rows of one id and text are numbered, so that each meets a slot of its own."""
+    df = df.drop("shard", "slot")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keys = ["_size", "_crc", "_nth"]
     nth = lambda order: F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(*order))

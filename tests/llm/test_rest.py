@@ -160,12 +160,13 @@ def test_quality_edges(spark, docs):
     assert none.rules == [] and one.rules == []
     labels = spark.createDataFrame([(i, i % 2) for i in range(70)] + [(1, 1)], "doc_id long, quality int")
     model = rule_quality.train(df, labels)
-    got = rule_quality.score(df, model, ["doc_id", "score", "text"]) if False else rule_quality.score(df.drop("score"), model, ["doc_id", "text"])
+    got = rule_quality.score(df, model, ["doc_id", "text"])
+    assert rule_quality.keep_good(df, model, 0.0).columns == df.columns and rule_quality.keep_good(df, model, 0.0).count() == len(rows)
     x = rule_quality.statistics(pa.array([t for _, t, *_ in rows]))
     assert x.shape[1] == len(rule_quality.STATISTICS) and np.isfinite(x).all()
     want = sorted((str(i), t or "", round(float(s), 9)) for (i, t, *_), s in zip(rows, model.score(x), strict=True))
     assert sorted((str(r["doc_id"]), r["text"] or "", round(r["score"], 9)) for r in got.collect()) == want
-    assert rule_quality.score(docs([]).drop("score"), model, ["doc_id"]).collect() == []
+    assert rule_quality.score(docs([]), model, ["doc_id"]).collect() == []
 
 
 # --- shards --------------------------------------------------------------------------------------------------------
@@ -193,7 +194,7 @@ def test_shards(spark, docs, monkeypatch):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     again = sharding.shuffle_into_shards(docs(rows[::-1]), "doc_id", "text", 5).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
-    whole = sharding.sharded_rows(docs(rows), "doc_id", "text", 5).collect()
+    whole = sharding.sharded_rows(docs(rows).withColumn("slot", F.lit("x")), "doc_id", "text", 5).collect()
     assert Counter((r["shard"], r["slot"]) for r in whole) == Counter((r["shard"], r["slot"]) for r in got)
     assert sharding.shuffle_into_shards(docs([]), "doc_id", "text", 5).collect() == []
 
