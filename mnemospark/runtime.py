@@ -33,6 +33,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables under the shared folder; results that still read them must be written first."""
+    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/mnemospark"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for an application."""
     context = spark.sparkContext

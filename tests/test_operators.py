@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,16 @@ def test_requests_beyond_a_batch(spark, monkeypatch):
     assert runtime.against_requests(rows, req, F.col("r") < F.col("q")).count() == sum(min(q, 7) for q in range(10))
 
 
+def test_clear(spark):
+    from mnemospark import runtime
+
+    df = runtime.materialise(spark.range(3), "x")
+    assert df.count() == 3
+    folder = runtime.shared_dir(spark) + "/mnemospark"
+    runtime.clear(spark)
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
 def test_settings(tmp_path):
     s = config.load(tmp_path / "c.toml")
     assert s.model.dimension == 384 and (tmp_path / "c.toml").exists()
