@@ -14,7 +14,6 @@ by exact integer arithmetic.  Results are exact, ties going to smaller ids.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np

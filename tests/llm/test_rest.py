@@ -235,18 +235,18 @@ def test_model_is_a_distribution():
     """Of all bytes that may follow, the probabilities sum to one."""
     code = mixlm.huffman(np.bincount(np.frombuffer(b"the then there than", np.uint8), minlength=256))
     assert abs(sum(2.0 ** -int(n) for n in code.length) - 1) < 1e-9
-    events = [(0, b"the"), (1, b"then"), (0, b"")]
+    events = mixlm.Events.of([(0, b"the"), (1, b"then"), (0, b""), (2, b"x" * 9000)])
     model = mixlm.Model(code)
     counts = np.zeros((mixlm.MODELS, mixlm.SLOTS * 2), np.float32)
     for owner, _, _, bit, slots in mixlm.decisions(events, code):
         for k in range(mixlm.MODELS):
             np.add.at(counts[k], slots[k] * 2 + bit, 1)
     model.counts = mixlm.packed(counts.reshape(mixlm.MODELS, mixlm.SLOTS, 2))
-    model.weights, _, steps = mixlm.learn(iter([(events, np.ones(3))]), model)
+    model.weights, _, steps = mixlm.learn(iter([(events, np.ones(4))]), model)
     # Single bytes and the end: each is "x " or the line feed; sum over first bytes by leaving out the blank's share.
     words = [bytes((b,)) for b in range(256) if b not in (10, 32)]
-    one = sum(10 ** mixlm.log10_probability([(0, w) for w in words], model))
-    longer = sum(10 ** mixlm.log10_probability([(0, w + bytes((b,))) for w in words for b in range(256) if b != 32], model))
+    one = sum(10 ** mixlm.log10_probability(mixlm.Events.of([(0, w) for w in words]), model))
+    longer = sum(10 ** mixlm.log10_probability(mixlm.Events.of([(0, w + bytes((b,))) for w in words for b in range(256) if b != 32]), model))
     assert one + longer < 1.0
 
 
