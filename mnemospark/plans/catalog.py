@@ -13,6 +13,7 @@ from ..operators import chunking, clusters, embed, lifecycle, search, store
 from ..schema import NIL
 from ..sources import files
 from ..sources import fixtures as fx
+from ..streaming import ingest
 from . import tables_sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +142,20 @@ def upsert_fold(s: SparkSession, d: str) -> DataFrame:
     return store.fold(fx.oplog(s, d)).select("id", "value", F.array_join("tags", ",").alias("tags"), "is_deleted", _day("deleted_at"))
 
 
+@query(_SQL["upsert_fold"])
+def upsert_stream(s: SparkSession, d: str) -> DataFrame:
+    return ingest.ingested(fx.oplog(s, d)).select("id", "value", F.array_join("tags", ",").alias("tags"), "is_deleted", _day("deleted_at"))
+
+
+@query("SELECT CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 86400000000 AS BIGINT) AS day, user_id, count(*) AS access_count, CAST(max(epoch_us(ts)) AS BIGINT) AS last_accessed FROM events GROUP BY ALL")
+def access_stream(s: SparkSession, d: str) -> DataFrame:
+    # Zone-less times are read as UTC whatever the session's zone is.
+    at = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
+    e = fx.table(s, d, "events").select("event_id", at.alias("ts"), "user_id")
+    day = F.floor(F.unix_seconds("start") / 86400).cast("long")
+    return ingest.accessed(e).select(day.alias("day"), "user_id", "access_count", F.unix_micros("last_accessed").alias("last_accessed"))
+
+
 @query(f"{_STATE} SELECT id, CASE n WHEN 0 THEN 'live' WHEN 1 THEN 'soft' ELSE 'hard' END AS state, {_day_sql('deleted_at')} FROM st")
 def delete_state(s: SparkSession, d: str) -> DataFrame:
     return store.delete_state(fx.oplog(s, d)).select("id", "state", _day("deleted_at"))
