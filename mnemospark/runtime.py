@@ -54,10 +54,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Bytes a core of what a table's files hold, below which its rows are spread anew.
+SMALL = 128 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where a table of few files would keep most idle; on a large table this does nothing."""
+    """Rows over all cores where a small table of few files would keep most idle; a large one stays as it is.
+
+    The size is the planner's estimate for the files below, so nothing runs to learn it.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return rows.repartition(cores) if size < SMALL * cores else rows
 
 
 def against_requests(rows: DataFrame, requests: DataFrame, condition: Column | Callable[[], Column] | None = None) -> DataFrame:
