@@ -250,6 +250,13 @@ def test_model_is_a_distribution():
     assert one + longer < 1.0
 
 
+def test_odds_of_large_counts():
+    for zeros, ones in ((20_000_000, 2_000_000), (2_000_000, 20_000_000), (6e9, 3e9), (3e5, 3e5), (4e12, 1e4), (9e6, 0), (700, 90), (3, 1)):
+        got = mixlm._LOGIT[int(mixlm.packed(np.array([[zeros, ones]], np.float32))[0])]
+        want = np.clip(np.log((ones + mixlm.DELTA) / (zeros + mixlm.DELTA)), -mixlm.CLIP, mixlm.CLIP)
+        assert abs(got - want) < 0.06, (zeros, ones)
+
+
 def test_scores(spark, docs):
     rows = sample_rows(120)
     held = lambda: rule_quality.remainder(F.col("doc_id"), 7) == 2
