@@ -3,12 +3,13 @@
 A page is read as tokens: tags (name, class and id) and text nodes.  Tokens of a host that have the same
 occurrence vector (how often each page of the host has them) form an equivalence class.  A vector is
 known by two sums over pages of hashes of (page, count), so classes are found by aggregation, without gathering a host's pages.
+Pages of a host with equal sets of text nodes are copies, and count as one page: what only copies share is no template.
 
 A class of at least two tokens that nearly all pages have is valid where its tokens keep their order.
 Tokens that occur once a page make up the frame of the template; the gaps between them are slots.  Classes
 that recur in a page (the items of a list) are nested in the slot that holds them.  A slot is content if
 the frame opens an article or main element around it; if the template has none, content is the slot with the most text outside links.
-Text nodes in the frame's class are part of the template, and are no content.  What is left of content slots is extracted, without
+Text nodes in the frame's class are part of the template, and are no content, unless an article would be left empty.  What is left of content slots is extracted, without
 elements that are no article text wherever they stand: navigation, forms, notices, adverts, comments of readers.
 """
 
@@ -84,17 +85,18 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_COUNTED = "host string, token long, pages long, total long, f1 long, f2 long, at double"
+_COUNTED = "host string, token long, page long, total long, f1 long, f2 long, at double"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by host and token over a batch; token 0 stands for the page itself."""
+    """Tokens of each distinct page; token 0 stands for the page itself, which is known by its set of text nodes."""
     for batch in batches:
-        sums: dict[tuple[str, int], list] = {}
-        for page_id, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        rows: dict[tuple[str, int, int], tuple] = {}
+        for _, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             host = host_of(url)
             seen: Counter = Counter()
             first: dict[int, int] = {}
+            texts: set[int] = set()
             k = 0
             for token in tokens(page or ""):
                 if (identity := _identity(token)) is not None:
@@ -102,19 +104,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first.setdefault(d, k)
                     seen[d] += 1
                     k += 1
+                    if identity[0] == "text":
+                        texts.add(d)
             seen[0] = 1
             first[0] = 0
+            own = hashlib.blake2b(repr(sorted(texts)).encode(), digest_size=8).digest()
+            which = int.from_bytes(own, "big", signed=True)
             for d, n in seen.items():
-                h = int.from_bytes(hashlib.blake2b(f"{page_id}|{url}|{n}".encode("utf-8", "replace"), digest_size=8).digest(), "big")
-                s = sums.setdefault((host, d), [0, 0, 0, 0, 0.0])
-                s[0] += 1
-                s[1] += n
-                s[2] += h & 0x3FFFFFFF
-                s[3] += h >> 34
-                s[4] += first[d] / max(k, 1)
-        rows = list(sums.items())
+                h = int.from_bytes(hashlib.blake2b(own + b"|%d" % n, digest_size=8).digest(), "big")
+                row = (n, h & 0x3FFFFFFF, h >> 34, first[d] / max(k, 1))
+                rows[host, d, which] = max(row, rows.get((host, d, which), row))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([h for (h, _), _ in rows], pa.string()), pa.array([d for (_, d), _ in rows], pa.int64()), *(pa.array([s[i] for _, s in rows], pa.int64()) for i in range(4)), pa.array([s[4] for _, s in rows], pa.float64())],
+            [pa.array([k[0] for k in rows], pa.string()), *(pa.array([k[i] for k in rows], pa.int64()) for i in (1, 2)), *(pa.array([r[i] for r in rows.values()], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows.values()], pa.float64())],
             names=[x.split()[0] for x in _COUNTED.split(", ")],
         )
 
@@ -122,9 +123,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """``host, frame, lists``: tokens of the frame in order, and (token, class) of nested classes.
 
-    ``pages`` has id, url and html.  A host of fewer than ``PAGES`` pages has no row.
+    ``pages`` has id, url and html.  A host of fewer than ``PAGES`` distinct pages has no row.
     """
-    counted = arrow_map(pages, _count, _COUNTED).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "f1", "f2", "at"))).filter(f"token = 0 or pages >= {PAGES}")
+    # Copies in several tasks meet here, each token once a page content.
+    once = arrow_map(pages, _count, _COUNTED).groupBy("host", "token", "page").agg(F.max(F.struct("total", "f1", "f2", "at")).alias("x")).select("host", "token", "x.*")
+    counted = once.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), *(F.sum(c).alias(c) for c in ("total", "f1", "f2", "at"))).filter(f"token = 0 or pages >= {PAGES}")
     counted = materialise(counted, "tokens")
     hosts = counted.filter(f"token = 0 and pages >= {PAGES}").select("host", F.col("pages").alias("n"))
     valid = counted.filter("token <> 0").join(hosts, "host").filter(F.col("pages") >= F.col("n") * SHARE)
@@ -138,10 +141,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 class _Block:
-    __slots__ = ("links", "slot", "text")
+    __slots__ = ("links", "main", "slot", "text")
 
-    def __init__(self, slot: int):
-        self.slot, self.text, self.links = slot, [], 0
+    def __init__(self, slot: int, main: bool):
+        self.slot, self.text, self.links, self.main = slot, [], 0, main
 
 
 def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None) -> str:
@@ -157,6 +160,7 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
 
     stack: list[tuple[str, bool, bool, bool]] = []  # name, no content, opened by the frame or unframed page, link
     blocks: list[_Block] = []
+    fixed: list[_Block] = []
     main_slots: set[int] = set()
     slot, opened = 0, True
     nested: dict[int, Counter] = {}
@@ -192,18 +196,21 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
                 opened = True
             close(name)
         elif not any(s[1] for s in stack):
+            main = any(s[2] for s in stack)
             if k in framed:  # a text that every page has: the template's own
+                fixed.append(_Block(slot, main))
+                fixed[-1].text.append(name)
                 opened = True
                 continue
             if opened:
-                blocks.append(_Block(slot))
+                blocks.append(_Block(slot, main))
                 opened = False
             blocks[-1].text.append(name)
             if any(s[3] for s in stack):
                 blocks[-1].links += len(name)
-            if any(s[2] for s in stack):
+            if main:
                 main_slots.add(slot)
-    if not main_slots and blocks:
+    if not main_slots and not any(b.main and "".join(b.text).strip() for b in fixed) and blocks:
         # No article element: the slot with most text outside links, if no nested class makes it a list of links.
         weight: Counter = Counter()
         for b in blocks:
@@ -213,7 +220,15 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
                 weight[s] -= sum(b.links for b in blocks if b.slot == s)
         best = max(weight, key=lambda s: (weight[s], -s))
         main_slots = {best} if framed else set(weight)
-    out = (" ".join(html.unescape("".join(b.text)).split()) for b in blocks if b.slot in main_slots)
+    found = _joined(b for b in blocks if b.slot in main_slots)
+    if not main_slots or not found:
+        # All that an article holds is the frame's: rather the article of every page than none.
+        found = _joined(b for b in fixed if b.main) or found
+    return found
+
+
+def _joined(blocks: Iterator[_Block]) -> str:
+    out = (" ".join(html.unescape("".join(b.text)).split()) for b in blocks)
     return " ".join(x for x in out if x)
 
 
@@ -250,7 +265,7 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Character references are decoded, white space in a block becomes one blank, blocks are joined in page
     order by one blank; nothing is capped.  A null or empty page has an empty text; a page whose url is
     null or no url is of the host ``''``; a host of few pages has no template, and its pages are read by their
-    elements alone.  Repeated rows are pages each; an empty table gives no rows; other columns aren't read.
+    elements alone.  Repeated rows have a text each, but count once in the template; an empty table gives no rows; other columns aren't read.
 
     Pages meet their host's template by a join; a host with a third of all pages is a skewed key there, which
     Spark splits, as nothing needs its pages together.

@@ -93,6 +93,22 @@ def test_extract_articles(spark):
         assert got[i] == " ".join(x for x in parts if x)
 
 
+def test_extract_copies(spark):
+    page = "<body><nav>Site</nav><article><h1>Title {0}</h1><p>First {0}.</p><p>Second {0}.</p></article></body>"
+    bare = "<body><div id=x><h1>Title</h1><p>First words</p><p>Second words</p></div></body>"
+    rows = [(i, f"http://a.b/x?{i}", page.format("a")) for i in range(5)] + [(5, "http://a.b/x?4", page.format("a")), (6, "http://a.b/y", page.format("b"))]
+    rows += [(10 + i, f"http://c.d/{i}", bare) for i in range(5)]
+    # A link that names the page makes no other page of it; an article that differs in nothing else isn't dropped.
+    rows += [(20 + i, f"http://e.f/{i}", f"<head><link href={i}></head>" + page.format("c")) for i in range(5)]
+    rows += [(30 + i, f"http://g.h/{i}", page.format("d") + f"<p>Number {i}</p>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in template_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for i, text in got.items():
+        x = "aaaaaab"[i] if i < 7 else "c" if i < 25 else "d"
+        want = "Title First words Second words" if 10 <= i < 15 else f"Title {x} First {x}. Second {x}."
+        assert text == want, i
+
+
 # --- mixture -------------------------------------------------------------------------------------------------------
 
 
