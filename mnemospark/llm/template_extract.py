@@ -7,8 +7,9 @@ Pages of a host with equal sets of text nodes are copies, and count as one page:
 
 A class of at least two tokens that nearly all pages have is valid where its tokens keep their order.
 Tokens that occur once a page make up the frame of the template; the gaps between them are slots.  Classes
-that recur in a page (the items of a list) are nested in the slot that holds them.  A slot is content if
-the frame opens an article or main element around it; if the template has none, content is the slot with the most text outside links.
+that recur in a page (the items of a list) are nested in the slot that holds them.  Where a page has an article or main
+element, content are the slots it reaches into.  Where it has none, the host's pages decide: content is every slot
+whose text varies between pages and isn't mostly links; links of a nested class, the items of a list, weigh more.
 Text nodes in the frame's class are part of the template, and are no content, unless an article would be left empty.  What is left of content slots is extracted, without
 elements that are no article text wherever they stand: navigation, forms, notices, adverts, comments of readers.
 """
@@ -20,6 +21,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,8 +149,35 @@ class _Block:
         self.slot, self.text, self.links, self.main = slot, [], 0, main
 
 
-def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None) -> str:
-    """Text of a page's content slots."""
+@dataclass
+class _Page:
+    blocks: list[_Block]
+    #: Text nodes of the frame, which are no blocks.
+    fixed: list[_Block]
+    #: The token of the frame before each slot, 0 before the first.
+    labels: list[int]
+    #: Slots that an article or main element reaches into.
+    main: set[int]
+    #: By slot, how many links of each nested class it has.
+    nested: dict[int, Counter]
+
+    def weights(self) -> Counter:
+        """By slot: characters outside links less those in links, which count twice where they are a list's."""
+        weight: Counter = Counter()
+        for b in self.blocks:
+            weight[b.slot] += sum(map(len, b.text)) - 2 * b.links
+        for s, classes in self.nested.items():
+            if any(n >= 3 for n in classes.values()):
+                weight[s] -= sum(b.links for b in self.blocks if b.slot == s)
+        return weight
+
+    @property
+    def decided(self) -> bool:
+        """An article element says what is content."""
+        return bool(self.main) or any(b.main and "".join(b.text).strip() for b in self.fixed)
+
+
+def read_page(page: str | None, frame: list[int] | None, lists: list[dict] | None) -> _Page:
     read = list(tokens(page or ""))
     digests = [(digest(i) or 1) if (i := _identity(t)) is not None else 0 for t in read]
     times = Counter(digests)
@@ -161,6 +190,7 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
     stack: list[tuple[str, bool, bool, bool]] = []  # name, no content, opened by the frame or unframed page, link
     blocks: list[_Block] = []
     fixed: list[_Block] = []
+    labels = [0]
     main_slots: set[int] = set()
     slot, opened = 0, True
     nested: dict[int, Counter] = {}
@@ -178,6 +208,7 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
     for k, (kind, name, marks) in enumerate(read):
         if k in framed:
             slot += 1
+            labels.append(framed[k])
             opened = True
         if digests[k] in listed:
             nested.setdefault(slot, Counter())[listed[digests[k]]] += kind == "start" and name == "a"
@@ -210,21 +241,26 @@ def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None)
                 blocks[-1].links += len(name)
             if main:
                 main_slots.add(slot)
-    if not main_slots and not any(b.main and "".join(b.text).strip() for b in fixed) and blocks:
-        # No article element: the slot with most text outside links, if no nested class makes it a list of links.
-        weight: Counter = Counter()
-        for b in blocks:
-            weight[b.slot] += sum(map(len, b.text)) - 2 * b.links
-        for s, classes in nested.items():
-            if any(n >= 3 for n in classes.values()):
-                weight[s] -= sum(b.links for b in blocks if b.slot == s)
-        best = max(weight, key=lambda s: (weight[s], -s))
-        main_slots = {best} if framed else set(weight)
-    found = _joined(b for b in blocks if b.slot in main_slots)
-    if not main_slots or not found:
-        # All that an article holds is the frame's: rather the article of every page than none.
-        found = _joined(b for b in fixed if b.main) or found
-    return found
+    return _Page(blocks, fixed, labels, main_slots, nested)
+
+
+def extract(page: str | None, frame: list[int] | None, lists: list[dict] | None, content: list[int] | None = None) -> str:
+    """Text of a page's content slots; ``content`` are the labels that the host's pages without articles agree on."""
+    read = read_page(page, frame, lists)
+    slots = read.main
+    if not read.decided and read.blocks:
+        if len(read.labels) == 1:  # no template
+            slots = {b.slot for b in read.blocks}
+        else:
+            known = set(content or ())
+            slots = {b.slot for b in read.blocks if read.labels[b.slot] in known}
+            if not _joined(b for b in read.blocks if b.slot in slots):
+                # A page unlike its host's others: what it says itself.
+                weight = read.weights()
+                slots = {s for s, w in weight.items() if w > 0} or {max(weight, key=lambda s: (weight[s], -s))}
+    found = _joined(b for b in read.blocks if b.slot in slots)
+    # All that an article holds is the frame's: rather the article of every page than none.
+    return found or _joined(b for b in read.fixed if b.main)
 
 
 def _joined(blocks: Iterator[_Block]) -> str:
@@ -253,9 +289,51 @@ def _in_order(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+_EVIDENCE = "host string, slot long, pages long, weight long, low long, high long"
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By host and slot of pages without articles: the weight of its text, and the least and greatest digest of it; no slot stands for all pages."""
+    for batch in batches:
+        sums: dict[tuple[str, int | None], list[int]] = {}
+        for host, *row in zip(*(batch.column(i).to_pylist() for i in (5, 2, 3, 4)), strict=True):
+            read = read_page(*row)
+            if read.decided:
+                continue
+            sums.setdefault((host, None), [0, 0, 0, 0])[0] += 1
+            texts: dict[int, list[str]] = {}
+            for b in read.blocks:
+                texts.setdefault(b.slot, []).append(" ".join("".join(b.text).split()))
+            weight = read.weights()
+            for slot, parts in texts.items():
+                text = " ".join(x for x in parts if x)
+                if text:
+                    d = digest(("text", text, ""))
+                    x = sums.setdefault((host, read.labels[slot]), [0, 0, d, d])
+                    x[:] = x[0] + 1, x[1] + weight[slot], min(x[2], d), max(x[3], d)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int64()), *(pa.array([x[i] for x in sums.values()], pa.int64()) for i in range(4))], names=[x.split()[0] for x in _EVIDENCE.split(", ")]
+        )
+
+
+def content_slots(pages: DataFrame) -> DataFrame:
+    """``host, content``: labels of the slots of a host that hold content on pages without articles.
+
+    ``pages`` has id, url, page, frame, lists and host.  Pages with an article element are told by a search of their
+    source and not read; where one is found in a comment only, its page doesn't bear evidence.
+    """
+    found = arrow_map(pages.filter("frame is not null and not page rlike '(?i)<(article|main)[ \\t\\r\\n>/]'"), _evidence, _EVIDENCE).groupBy("host", "slot")
+    sums = found.agg(F.sum("pages").alias("pages"), F.sum("weight").alias("weight"), (F.min("low") < F.max("high")).alias("varies"))
+    slots = F.collect_list(F.when(F.expr("slot is not null and weight > 0"), F.struct("slot", "pages", "varies")))  # slots of one template
+    hosts = sums.groupBy("host").agg(F.max(F.when(F.col("slot").isNull(), F.col("pages"))).alias("n"), slots.alias("slots"))
+    # A text varies, too, if only some pages have it.
+    kept = F.filter("slots", lambda x: x["varies"] | (x["pages"] < F.col("n") * SHARE))
+    return hosts.select("host", F.transform(kept, lambda x: x["slot"]).alias("content"))
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True)]
+        texts = [extract(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
@@ -273,6 +351,8 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("page"))
     known = materialise(templates(pages), "templates")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    both = pages.withColumn("host", host).join(known, "host", "left").select("id", "url", "page", "frame", "lists")
+    both = pages.withColumn("host", host).join(known, "host", "left").select("id", "url", "page", "frame", "lists", "host")
+    slots = materialise(content_slots(both), "slots")
+    both = both.join(slots, "host", "left").select("id", "url", "page", "frame", "lists", "content")
     out = arrow_map(both, _extract, f"id {dict(pages.dtypes)['id']}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -109,6 +109,16 @@ def test_extract_copies(spark):
         assert text == want, i
 
 
+def test_extract_split_articles(spark):
+    """Without an article element, all slots of text are content that the template's elements part."""
+    page = "<body><div class=top>Site name</div><div id=x><h1>Title {0}</h1><p>First {0} words</p><figure><img src=a></figure><p>Second {0} words, longer ones, {0}</p><blockquote>Said {0}</blockquote><p>Last {0}</p></div><div id=more><a href=1>Other text {0} linked at length</a> and</div></body>"
+    rows = [(i, f"http://a.b/{i}", page.format(f"n{i}")) for i in range(6)]
+    rows += [(7, "http://a.b/7", page.format("n7").replace("<figure><img src=a></figure>", "<figure><img src=a>A note.</figure>"))]
+    got = {r["page_id"]: r["text"] for r in template_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: "Title n{0} First n{0} words Second n{0} words, longer ones, n{0} Said n{0} Last n{0}".format(i) for i in range(6)}
+    assert got == {**want, 7: "Title n7 First n7 words A note. Second n7 words, longer ones, n7 Said n7 Last n7"}
+
+
 # --- mixture -------------------------------------------------------------------------------------------------------
 
 
