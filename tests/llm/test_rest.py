@@ -283,6 +283,17 @@ def test_odds_of_large_counts():
         assert abs(got - want) < 0.06, (zeros, ones)
 
 
+def test_order_of_words_counts(spark, docs):
+    """A score depends on what stands before a word, be it common or not."""
+    assert set(mixlm.ORDERS) >= {1, 2, 3, 4, 6}
+    common = " ".join(f"w{i}" for i in range(mixlm.COMMON)) + " "
+    # After the common words, bora follows adan, and kilu follows mone.
+    rows = [(i, common * 3 + "adan bora mone kilu") for i in range(30)] + [(100, common * 3 + "adan bora mone kilu"), (101, common * 3 + "mone bora adan kilu")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in mixlm.score_texts(df, F.col("doc_id") < 100, ["doc_id"]).collect()}
+    assert got[100] > got[101] + 0.1
+
+
 def test_scores(spark, docs):
     rows = sample_rows(120)
     held = lambda: rule_quality.remainder(F.col("doc_id"), 7) == 2
