@@ -294,6 +294,33 @@ def test_order_of_words_counts(spark, docs):
     assert got[100] > got[101] + 0.1
 
 
+def test_common_words_are_exact(spark, monkeypatch):
+    """A word that no batch has among its commonest is common if the table has it often."""
+    # 150 words twice in a text of its own kind; "shared" once in each text, beyond a batch's first 128 but first over all.
+    texts = [" ".join(f"k{i}x{j} k{i}x{j}" for j in range(150)) + " shared" for i in range(40)]
+    of = lambda part: next(mixlm._token_counts(iter([pa.RecordBatch.from_arrays([pa.array(part)], names=["t"])]))).to_pydict()
+    whole, sums = of(texts), Counter()
+    for t in texts:
+        one = of([t])
+        sums.update(dict(zip(one["h"], one["n"], strict=True)))
+    assert sums == dict(zip(whole["h"], whole["n"], strict=True))
+    class Seen(Exception):
+        pass
+
+    def stop(words):
+        raise Seen(words)
+
+    # Each text a batch of its own.
+    monkeypatch.setattr(mixlm, "_followers", stop)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        with pytest.raises(Seen) as seen:
+            mixlm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), F.lit(True), ["doc_id"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert next(mixlm.textkit.words_of(*mixlm.textkit.texts_of(pa.array(["shared"])))).hashes[0] in seen.value.args[0]
+
+
 def test_scores(spark, docs):
     rows = sample_rows(120)
     held = lambda: rule_quality.remainder(F.col("doc_id"), 7) == 2
