@@ -173,6 +173,27 @@ def test_chunks_resist_shifts():
         assert (ends[-1] if size else 0) == size and (np.diff(np.concatenate(([0], ends))) <= chunk_dedup.MAX).all()
 
 
+def test_runs_without_cut_points_align(spark, docs):
+    """One phrase repeated has few windows and often no cut point; it is found at any offset."""
+    rng = np.random.default_rng(5)
+    word = lambda: bytes(rng.integers(97, 123, int(rng.integers(3, 9))).astype(np.uint8))
+    rows, passages = [], 0
+    while passages < 8:
+        phrase = b" ".join(word() for _ in range(int(rng.integers(1, 4))))
+        run = b" ".join([phrase] * (100 // len(phrase.split())))
+        if (chunk_dedup.gear(np.frombuffer(run, np.uint8))[16:] < (1 << 32) // chunk_dedup.SPREAD).any():
+            continue
+        for k in range(2):
+            own = [b" ".join(word() for _ in range(int(rng.integers(30, 90)))) for _ in range(2)]
+            rows.append((passages * 2 + k, b" ".join((own[0], run, own[1])).decode(), "en", "s"))
+        passages += 1
+    spans = chunk_dedup.repeated_spans(docs(rows)).collect()
+    assert {r["doc_id"] for r in spans} == {r[0] for r in rows}
+    # What two texts share, not only what recurs in one of them.
+    of = lambda i: chunk_dedup.digests(x := np.frombuffer(rows[i][1].encode(), np.uint8), chunk_dedup.cut(x))
+    assert all(len(np.intersect1d(of(i), of(i + 1))) for i in range(0, len(rows), 2))
+
+
 def test_words():
     texts = ["Hello, Wörld 12", "", "É a", " x\ny\x0bz ", None, "a" * 600000 + " b " + "word " * 100000]
     data, offsets = textkit.texts_of(pa.array(texts))
