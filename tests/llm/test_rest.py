@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bsi_topk, chat, entry, mixing, mixlm, rule_quality, sharding, template_extract
+from mnemospark.llm import bsi_topk, chat, entry, mixing, rule_quality, sharding, template_extract
 
 from .conftest import sample_rows
 
@@ -254,93 +254,7 @@ def test_chat_query(spark):
     assert got[-1]["loss_sha256"] == hashlib.sha256(entry.CONFLICT.encode()).hexdigest()
 
 
-# --- language model ------------------------------------------------------------------------------------------------
-
-
-def test_model_is_a_distribution():
-    """Of all bytes that may follow, the probabilities sum to one."""
-    code = mixlm.huffman(np.bincount(np.frombuffer(b"the then there than", np.uint8), minlength=256))
-    assert abs(sum(2.0 ** -int(n) for n in code.length) - 1) < 1e-9
-    events = mixlm.Events.of([(0, b"the"), (1, b"then"), (0, b""), (2, b"x" * 9000)])
-    model = mixlm.Model(code)
-    counts = np.zeros((mixlm.MODELS, mixlm.SLOTS * 2), np.float32)
-    for owner, _, _, bit, slots in mixlm.decisions(events, code):
-        for k in range(mixlm.MODELS):
-            np.add.at(counts[k], slots[k] * 2 + bit, 1)
-    model.counts = mixlm.packed(counts.reshape(mixlm.MODELS, mixlm.SLOTS, 2))
-    model.weights, _, steps = mixlm.learn(iter([(events, np.ones(4))]), model)
-    # Single bytes and the end: each is "x " or the line feed; sum over first bytes by leaving out the blank's share.
-    words = [bytes((b,)) for b in range(256) if b not in (10, 32)]
-    one = sum(10 ** mixlm.log10_probability(mixlm.Events.of([(0, w) for w in words]), model))
-    longer = sum(10 ** mixlm.log10_probability(mixlm.Events.of([(0, w + bytes((b,))) for w in words for b in range(256) if b != 32]), model))
-    assert one + longer < 1.0
-
-
-def test_odds_of_large_counts():
-    for zeros, ones in ((20_000_000, 2_000_000), (2_000_000, 20_000_000), (6e9, 3e9), (3e5, 3e5), (4e12, 1e4), (9e6, 0), (700, 90), (3, 1)):
-        got = mixlm._LOGIT[int(mixlm.packed(np.array([[zeros, ones]], np.float32))[0])]
-        want = np.clip(np.log((ones + mixlm.DELTA) / (zeros + mixlm.DELTA)), -mixlm.CLIP, mixlm.CLIP)
-        assert abs(got - want) < 0.06, (zeros, ones)
-
-
-def test_order_of_words_counts(spark, docs):
-    """A score depends on what stands before a word, be it common or not."""
-    assert set(mixlm.ORDERS) >= {1, 2, 3, 4, 6}
-    common = " ".join(f"w{i}" for i in range(mixlm.COMMON)) + " "
-    # After the common words, bora follows adan, and kilu follows mone.
-    rows = [(i, common * 3 + "adan bora mone kilu") for i in range(30)] + [(100, common * 3 + "adan bora mone kilu"), (101, common * 3 + "mone bora adan kilu")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in mixlm.score_texts(df, F.col("doc_id") < 100, ["doc_id"]).collect()}
-    assert got[100] > got[101] + 0.1
-
-
-def test_common_words_are_exact(spark, monkeypatch):
-    """A word that no batch has among its commonest is common if the table has it often."""
-    # 150 words twice in a text of its own kind; "shared" once in each text, beyond a batch's first 128 but first over all.
-    texts = [" ".join(f"k{i}x{j} k{i}x{j}" for j in range(150)) + " shared" for i in range(40)]
-    of = lambda part: next(mixlm._token_counts(iter([pa.RecordBatch.from_arrays([pa.array(part)], names=["t"])]))).to_pydict()
-    whole, sums = of(texts), Counter()
-    for t in texts:
-        one = of([t])
-        sums.update(dict(zip(one["h"], one["n"], strict=True)))
-    assert sums == dict(zip(whole["h"], whole["n"], strict=True))
-    class Seen(Exception):
-        pass
-
-    def stop(words):
-        raise Seen(words)
-
-    # Each text a batch of its own.
-    monkeypatch.setattr(mixlm, "_followers", stop)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
-    try:
-        with pytest.raises(Seen) as seen:
-            mixlm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), F.lit(True), ["doc_id"])
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert next(mixlm.textkit.words_of(*mixlm.textkit.texts_of(pa.array(["shared"])))).hashes[0] in seen.value.args[0]
-
-
-def test_scores(spark, docs):
-    rows = sample_rows(120)
-    held = lambda: rule_quality.remainder(F.col("doc_id"), 7) == 2
-    got = mixlm.score_texts(docs(rows).drop("score"), ~held(), ["doc_id", "text"], hot_events=20, hot_tokens=10).collect()
-    toks = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), None]
-    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    c = Counter(x for i, t, *_ in rows if not out(i) for x in toks(t))
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(rows)
-    for r in got:
-        ts = toks(r["text"])
-        base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ts), sum(c[t] > 0 for t in ts), n)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0 and math.isfinite(r["score"])
-    same = {}
-    for r in got:
-        assert math.isclose(same.setdefault(r["text"] or "", r["score"]), r["score"], rel_tol=1e-9)
-    assert mixlm.score_texts(docs([]).drop("score"), ~held(), ["doc_id"]).collect() == []
-    untrained = mixlm.score_texts(docs(rows[:3]).drop("score"), F.lit(False), ["doc_id"]).collect()
-    assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in untrained)
+# --- pipeline -------------------------------------------------------------------------------------------------------
 
 
 @needs_data
