@@ -30,7 +30,7 @@ def op2_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    spans = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"), across=True)
     return spans.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_spans"), F.sum("n_words").alias("repeated_words"), F.max("n_words").alias("longest_words"),
         F.sum(F.col("stop") - F.col("start")).alias("repeated_bytes"), F.min("first_id").alias("first_doc_id"), F.max("copies").alias("copies"),

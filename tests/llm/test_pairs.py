@@ -173,6 +173,100 @@ def test_chunks_resist_shifts():
         assert (ends[-1] if size else 0) == size and (np.diff(np.concatenate(([0], ends))) <= chunk_dedup.MAX).all()
 
 
+def _plain_cuts(raw):
+    """Gear hashes byte by byte; a cut where one is small, else at the smallest when a chunk gets too long."""
+    gear = [int(x) for x in chunk_dedup._GEAR]
+    h = [sum(gear[raw[i - k]] << k for k in range(min(chunk_dedup.WINDOW, i + 1))) % (1 << 32) for i in range(len(raw))]
+    ends, last, at = [], 0, 0
+    while at <= len(raw):
+        cut = at < len(raw) and h[at] < (1 << 32) // chunk_dedup.SPREAD
+        if cut or at == len(raw):
+            while (at + 1 if cut else at) - last > chunk_dedup.MAX:
+                near = range(last + chunk_dedup.MIN - 1, last + chunk_dedup.MAX)
+                last = min(near, key=lambda i: (h[i], i)) + 1
+                ends.append(last)
+            if cut and at + 1 - last >= chunk_dedup.MIN:
+                ends.append(last := at + 1)
+        at += 1
+    return ends + [len(raw)] if len(raw) > last else ends
+
+
+def _plain_spans(rows, later_only=False, across=False, min_words=chunk_dedup.SPAN_WORDS):
+    units = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        if i is None or not raw:
+            continue
+        ends = _plain_cuts(raw)
+        edges = list(zip([0, *ends[:-1]], ends, strict=True))
+        for k in range(max(1, len(edges) - 1)):
+            a, b = edges[k][0], edges[min(k + 1, len(edges) - 1)][1]
+            units.append((i, t, k, tuple(raw[x:y] for x, y in edges[k : k + 2]), a, b))
+    holders = {}
+    for u in units:
+        holders.setdefault(u[3], []).append(u[0])
+    good = lambda u: (min(holders[u[3]]) < max(holders[u[3]]) if across else len(holders[u[3]]) > 1) and (not later_only or min(holders[u[3]]) < u[0])
+    out, known = set(), sorted({u for u in units if good(u)}, key=lambda u: u[:3])
+    runs = []
+    for u in known:
+        if runs and runs[-1][-1][:2] == u[:2] and runs[-1][-1][2] + 1 == u[2]:
+            runs[-1].append(u)
+        else:
+            runs.append([u])
+    for run in runs:
+        raw, a, b = run[0][1].encode(), run[0][4], run[-1][5]
+        n = len([m for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw) if a <= m.start() < b])
+        while a and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b += 1
+        if n >= min_words:
+            out.add((run[0][0], run[0][1], a, b, n, min(min(holders[u[3]]) for u in run), max(len(holders[u[3]]) for u in run)))
+    return out
+
+
+def test_cuts_against_plain_loop(monkeypatch):
+    monkeypatch.setattr(textkit, "PIECE", 1000)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (0, 1, 13, 999, 1000, 1001, 5000)] + [np.frombuffer(("die " * 900 + "é" * 700).encode(), np.uint8), np.full(3000, 120, np.uint8)]
+    for x in texts:
+        assert chunk_dedup.cut(x).tolist() == _plain_cuts(x.tobytes())
+
+
+def test_spans_against_plain_version(spark, docs):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdeéßñ漢 "), int(rng.integers(2, 9))))
+    shared = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    rows = []
+    for i in range(25):
+        parts = [" ".join(word() for _ in range(int(rng.integers(5, 60)))) for _ in range(3)]
+        rows.append((i, " ".join((parts[0], shared[i % 3], parts[1], shared[(i + 1) % 3] if i % 4 else "", parts[2])), "en", "s"))
+    # Repeated rows, an id with two texts, copies, a text beyond a piece, runs of one word, nulls.
+    rows += [rows[3], rows[3], (4, "\uFFFD " + shared[0] + " \uFFFD", "en", "s"), (30, rows[7][1], "en", "s"), (31, "long " + " ".join(word() for _ in range(70000)) + shared[1], "en", "s")]
+    rows += [(32, "die " * 300, "en", "s"), (None, shared[0], "en", "s"), (33, None, "en", "s"), (34, "", "en", "s")]
+    df = docs(rows)
+    for how in ({}, {"across": True}, {"later_only": True}, {"min_words": 1}):
+        got = chunk_dedup.repeated_spans(df, **how).collect()
+        want = _plain_spans([r[:2] for r in rows], **how)
+        key = lambda r: (r["doc_id"], r["start"], r["stop"], r["n_words"], r["first_id"], r["copies"])
+        assert {key(r) for r in got} == {(i, *rest) for i, _, *rest in want} and len(got) == len(want)
+    cuts = {}
+    for i, t, a, b, *_ in _plain_spans([r[:2] for r in rows], later_only=True):
+        cuts.setdefault((i, t), []).append((a, b))
+    out = chunk_dedup.deduplicate(df)
+    assert out.columns == df.columns
+    want = []
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        for a, b in sorted(cuts.get((i, t), []), reverse=True):
+            raw = raw[:a] + raw[b:]
+        want.append((str(i), None if t is None else raw.decode()))
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert any("\uFFFD" in (t or "") for _, t in want)
+    assert chunk_dedup.deduplicate(docs([])).collect() == []
+
+
 def test_runs_without_cut_points_align(spark, docs):
     """One phrase repeated has few windows and often no cut point; it is found at any offset."""
     rng = np.random.default_rng(5)
