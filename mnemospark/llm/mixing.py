@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -100,14 +102,20 @@ def mix(df: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str = "t
     never taken.  Null languages and sources count as ``''``; repeated rows count each for itself;
     an empty table gives no rows.  Columns other than the four are not read.
     """
+    d = _counted(df, plan, id_col, text_col, lang_col, source_col)
+    return select_prefix(d, plan).drop("row")
+
+
+def _counted(df: DataFrame, plan: MixPlan, id_col: str, text_col: str, lang_col: str, source_col: str, row: Column | None = None) -> DataFrame:
+    """Leaf and tokens of every row that has tokens, written: the texts are read once.  ``row`` tells rows apart."""
     d = df.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"),
+        (F.lit(None).cast("long") if row is None else row).alias("row"),
     )
-    d = d.filter("n_tokens > 0").withColumn("domain", _domain(F.col("source"), plan))
-    return select_prefix(d, plan)
+    return materialise(d.filter("n_tokens > 0").withColumn("domain", _domain(F.col("source"), plan)), "counted")
 
 
 def select_prefix(d: DataFrame, plan: MixPlan) -> DataFrame:
@@ -125,15 +133,26 @@ def select_prefix(d: DataFrame, plan: MixPlan) -> DataFrame:
     cells = d.groupBy(*leaf, "cell").agg(F.sum("n_tokens").alias("n"))
     cells = cells.select(*leaf, "cell", F.coalesce(F.sum("n").over(Window.partitionBy(*leaf).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     d = d.join(cells, [*leaf, "cell"])
-    within = Window.partitionBy(*leaf, "cell").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*leaf, "cell").orderBy("h", "doc_id", "n_tokens", "row").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     taken = F.greatest(F.least(F.col("n_tokens"), F.col("part") - F.col("before")), F.lit(0))
-    return d.select("doc_id", *leaf, "n_tokens", "epochs", taken.alias("taken")).filter("epochs > 0 or taken > 0")
+    return d.select("doc_id", *leaf, "n_tokens", "epochs", taken.alias("taken"), "row").filter("epochs > 0 or taken > 0")
 
 
 def mixed_rows(df: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Rows of ``df`` as often as the mixture passes them; the document in which a leaf's prefix ends stays whole.  Ids must be unique."""
-    chosen = mix(df, plan, id_col, text_col, lang_col, source_col)
-    chosen = chosen.groupBy("doc_id").agg(F.max(F.col("epochs") + (F.col("taken") > 0).cast("long")).alias("_times")).withColumnRenamed("doc_id", id_col)
-    out = df.join(chosen, id_col)
-    return (out.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))) if plan.max_epochs > 1 else out).select(*df.columns)
+    """Rows of ``df`` as often as the mixture passes them; the document in which a leaf's prefix ends stays whole.
+
+    Every row counts for itself: rows of one id, of a null id and repeated rows are taken or left one by one.  Rows without tokens (null, empty, blank
+    texts) are never taken.  An empty table gives no rows.  All columns stay, whatever their names.
+
+    Rows are written with a number each, so that those chosen are met again by it.
+    """
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    of = dict(zip(df.columns, names, strict=True))
+    rows = materialise(df.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    chosen = select_prefix(_counted(rows, plan, of[id_col], of[text_col], of[lang_col], of[source_col], F.col("_row")), plan)
+    chosen = chosen.select(F.col("row").alias("_row"), (F.col("epochs") + (F.col("taken") > 0).cast("long")).alias("_times"))
+    out = rows.join(chosen, "_row")
+    if plan.max_epochs > 1:
+        out = out.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return out.select(*(F.col(x).alias(c) for c, x in of.items()))

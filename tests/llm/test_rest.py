@@ -162,6 +162,18 @@ def test_mix_edges(spark, docs):
     assert sum(r["epochs"] * r["n_tokens"] + r["taken"] for r in got) == total
     leaves = Counter((r["lang"], r["source"]) for r in got if 0 < r["taken"] < r["n_tokens"])
     assert all(n == 1 for n in leaves.values())
+    # All that the mixture takes comes as whole rows, nulls and repeated ids too.
+    for p in (plan, mixing.MixPlan(plan.domains, plan.languages, max_epochs=1, budget_percent=70)):
+        df = docs(rows + [(None, "null id one two", "en", "src0"), (None, "null id one two", "en", "src0")])
+        chosen, whole = mixing.mix(df, p).collect(), mixing.mixed_rows(df, p)
+        assert whole.columns == df.columns
+        times = Counter()
+        for r in chosen:
+            times[str(r["doc_id"]), r["n_tokens"]] += r["epochs"] + (r["taken"] > 0)
+        assert Counter((str(r["doc_id"]), count(r["text"])) for r in whole.collect()) == times
+    assert mixing.mixed_rows(docs([]), plan).collect() == []
+    every = mixing.mixed_rows(docs(rows), mixing.MixPlan({}, max_epochs=1)).collect()
+    assert len(every) == sum(count(t) > 0 for _, t, *_ in rows)
     assert mixing.mix(docs([]), plan).collect() == [] and mixing.mix(docs([(1, None, None, None), (2, " ", "en", "s")]), plan).collect() == []
 
 
@@ -207,6 +219,54 @@ def test_matrix():
     assert big.sum(axis=1).tolist() == [2 * 10**9, 10**9] and big.sum(axis=0).tolist() == [10**9, 2 * 10**9] and abs(big[0, 0] / 10**9 - 2 / 3) < 0.01
 
 
+def test_draws_from_large_populations():
+    """Draws by inversion have the hypergeometric distribution: exact masses by factorials, at any size."""
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    for good, bad, n in ((3 * 10**9, 5 * 10**9, 40), (10**12, 10**7, 500_000), (7, 2 * 10**9, 10**9), (12, 30, 20), (5, 0, 3), (2, 3, 5)):
+        rng = np.random.default_rng(3)
+        draws = Counter(sharding._inverted(rng, good, bad, n) for _ in range(4000))
+        assert min(draws) >= max(0, n - bad) and max(draws) <= min(n, good)
+        if good * n / (good + bad) < 100 or bad < 100:
+            mass = lambda k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) if good + bad < 1000 else math.exp(choose(good, k) + choose(bad, n - k) - choose(good + bad, n))
+            for k, times in draws.items():
+                assert abs(times / 4000 - mass(k)) < 5 * math.sqrt(mass(k) / 4000) + 0.002, (good, bad, n, k)
+        mean = n * good / (good + bad)
+        sd = math.sqrt(max(0.0, mean * bad / (good + bad) * (good + bad - n) / (good + bad - 1)))
+        assert abs(sum(k * t for k, t in draws.items()) / 4000 - mean) <= 5 * sd / math.sqrt(4000) + 1e-9
+    big = sharding.communication_matrix([10**11] * 3, [3 * 10**11 // 16] * 16, 5)
+    assert (big.sum(axis=1) == 10**11).all() and (big.sum(axis=0) == 3 * 10**11 // 16).all()
+
+
+def test_permutation_against_plain_version(spark, docs):
+    """The matrix, the local orders and the exchange made again by sorting, from the same seeded hashes."""
+    rows = sample_rows(400) + [(5000, "a hot row", "en", "src0")] * 900
+    df = docs(rows)
+    got = sharding.shuffle_into_shards(df, "doc_id", "text", 5)
+    n = len(rows)
+    parts, seed = math.ceil(n / sharding.PARTITION_ROWS), 20240131
+    text = F.coalesce("text", F.lit(""))
+    own = df.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc")).collect()
+    seen, keyed = Counter(), []
+    for r in own:
+        keyed.append((*r, seen[tuple(r)]))
+        seen[tuple(r)] += 1
+    t = spark.createDataFrame(keyed, "id long, size long, crc long, copy long")
+    key = [F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("crc"), F.col("size"), F.col("copy")]
+    t = t.select("*", *(F.xxhash64(F.lit(seed + i), *key).alias(f"h{i}") for i in range(3))).collect()
+    by = {}
+    for r in sorted(t, key=lambda r: r["h1"]):
+        by.setdefault(r["h0"] % parts, []).append(r)
+    matrix = sharding.communication_matrix([len(by[p]) for p in sorted(by)], sharding.shard_sizes(n, 5), seed)
+    shards = {s: [] for s in range(5)}
+    for i, p in enumerate(sorted(by)):
+        at = 0
+        for s in range(5):
+            shards[s] += by[p][at : at + matrix[i, s]]
+            at += matrix[i, s]
+    want = Counter((r["id"], r["size"], r["crc"], s, k) for s, x in shards.items() for k, r in enumerate(sorted(x, key=lambda r: r["h2"])))
+    assert Counter(tuple(r) for r in got.select("doc_id", "size", "text_crc32", "shard", "slot").collect()) == want
+
+
 def test_shards(spark, docs, monkeypatch):
     monkeypatch.setattr(sharding, "PARTITION_ROWS", 7)
     rows = sample_rows()
@@ -221,7 +281,16 @@ def test_shards(spark, docs, monkeypatch):
     again = sharding.shuffle_into_shards(docs(rows[::-1]), "doc_id", "text", 5).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     whole = sharding.sharded_rows(docs(rows).withColumn("slot", F.lit("x")), "doc_id", "text", 5).collect()
-    assert Counter((r["shard"], r["slot"]) for r in whole) == Counter((r["shard"], r["slot"]) for r in got)
+    place = lambda r: (r["doc_id"], r["text"], r["shard"], r["slot"])
+    assert Counter((r["shard"], r["slot"]) for r in whole) == Counter((r["shard"], r["slot"]) for r in got) and len(set(map(place, whole))) == len(rows)
+    assert Counter((r["doc_id"], r["text"]) for r in whole) == Counter(r[:2] for r in rows)
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in whole) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in got)
+    monkeypatch.setattr(sharding, "COPIES", 3)
+    hot = [(1, "same", "en", "s")] * 100 + rows[:9]
+    for part in (1, 6):
+        whole = sharding.sharded_rows(docs(hot).repartition(part), "doc_id", "text", 5).collect()
+        assert len(whole) == 109 and len({(r["shard"], r["slot"]) for r in whole}) == 109
+    assert sharding.sharded_rows(docs([]), "doc_id", "text", 5).collect() == []
     assert sharding.shuffle_into_shards(docs([]), "doc_id", "text", 5).collect() == []
 
 
