@@ -1,6 +1,6 @@
 """Exact top-k inner products with a bit-sliced index.
 
-Vectors are quantised to integers and dealt into segments.  A segment's index holds, for every
+Vectors are quantised to integers and read in segments.  A segment's index holds, for every
 attribute, the slices of its leading bits: bitmaps over the segment's rows.  A block of queries is
 scored by adding attribute slices, each shifted by the bits of the query's weight, with full adders made of
 bitmap operations; the sums are bit-sliced too, one bitmap of each query, bit and segment.
@@ -17,22 +17,31 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from ..runtime import spread
+from .common import arrow_map, materialise
 
 SEGMENT_ROWS = 4096
-QUERY_BLOCK = 512
+#: Queries that are broadcast at a time.
+QUERY_ROWS = 1 << 14
 #: Bits of an attribute in the index.  More bits leave fewer boundary rows, and cost more additions.
 INDEX_BITS = 6
 SCALE = 1024
-#: Larger quantised components are refused: 64-bit sums of products hold up to this.
-LIMIT = 1 << 26
+#: Numbers under this have sums of 2048 products in 64 bits; larger ones are kept as plain integers.  Quantised numbers end at LIMIT.
+NARROW, LIMIT = 1 << 26, 1 << 62
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _order(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """By score, the highest first, then id."""
+    if score.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i])), dtype=np.int64)
+    return np.lexsort((ids, -score))
+
+
 class Segment:
     """The bit-sliced index of some rows (ids ascending, matrix of integers)."""
 
@@ -66,7 +75,7 @@ class Segment:
             flip = np.where(queries[:, j] < 0, _ONES, np.uint64(0))[:, None]
             ready = None
             for b in range(int(weight[:, j].max()).bit_length() if len(queries) else 0):
-                who = np.flatnonzero((weight[:, j] >> b) & 1)
+                who = np.flatnonzero(((weight[:, j] >> b) & 1).astype(bool))
                 if not len(who):
                     continue
                 if ready is None:
@@ -101,7 +110,7 @@ class Segment:
         # Descend: `above` are rows surely among the first k, `level` those that agree with the k-th so far.
         above = np.zeros((n, self.words), dtype=np.uint64)
         level = np.tile(self.live, (n, 1))
-        kth = np.zeros(n, dtype=np.int64)
+        kth = np.zeros(n, dtype=np.int64 if depth < 62 else object)
         need = min(k, self.n)
         for b in range(depth - 1, -1, -1):
             ones = level & acc[b]
@@ -117,7 +126,7 @@ class Segment:
             rows = np.flatnonzero(np.unpackbits(chosen[i].view(np.uint8), bitorder="little")[: self.n])
             score = self.rows[rows] @ queries[i]
             if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -score))[:k]
+                best = _order(self.ids[rows], score)[:k]
                 rows, score = rows[best], score[best]
             yield i, self.ids[rows], score
 
@@ -125,68 +134,122 @@ class Segment:
         greater = np.zeros(acc.shape[1:], dtype=np.uint64)
         equal = np.tile(self.live, (acc.shape[1], 1))
         for b in range(len(acc) - 1, -1, -1):
-            bit = np.where((floor >> b) & 1, _ONES, np.uint64(0))[:, None]
+            bit = np.where(((floor >> b) & 1).astype(bool), _ONES, np.uint64(0))[:, None]
             greater |= equal & acc[b] & ~bit
             equal &= ~(acc[b] ^ bit)
         return greater | equal
 
 
-def _search(k: int):
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((3, 0), dtype=np.int64)]
-        if len(left) and len(right):
-            right = right.sort_values("vec_id", kind="stable")
-            segment = Segment(right["vec_id"].to_numpy(np.int64), np.array(right["q"].tolist(), dtype=np.int64))
-            # A query's own rows are found too, so as many more are looked for.
-            extra = int(np.unique(segment.ids, return_counts=True)[1].max())
-            for at in range(0, len(left), 64):
-                block = left.iloc[at : at + 64]
-                own = block["vec_id"].to_numpy(np.int64)
-                for i, ids, score in segment.top(np.array(block["q"].tolist(), dtype=np.int64), k + extra):
-                    keep = np.flatnonzero(ids != own[i])
-                    keep = keep[np.lexsort((ids[keep], -score[keep]))[:k]]
-                    out.append(np.stack([np.full(len(keep), own[i]), ids[keep], score[keep]]))
-        got = np.concatenate(out, axis=1)
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
+class Best:
+    """The k best rows of each of some queries, as segments come in."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, queries.dtype))] * len(ids)
+
+    def add(self, segment: Segment) -> None:
+        if not segment.n:
+            return
+        # A query's own rows are found too, so as many more are looked for.
+        extra = int(np.unique(segment.ids, return_counts=True)[1].max())
+        for at in range(0, len(self.ids), 64):
+            for i, ids, score in segment.top(self.queries[at : at + 64], self.k + extra):
+                i += at
+                other = np.flatnonzero(ids != self.ids[i])
+                both = np.concatenate((self.found[i][0], ids[other])), np.concatenate((self.found[i][1], score[other]))
+                keep = _order(*both)[: self.k]
+                self.found[i] = both[0][keep], both[1][keep]
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(x) for x, _ in self.found]
+        score = np.concatenate([np.zeros(0, np.int64), *(np.clip(x, -(1 << 63), (1 << 63) - 1).astype(np.int64) for _, x in self.found)])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *(x for x, _ in self.found)])), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _matrices(ids: np.ndarray, column: pa.Array, dim: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Ids and rows of one length: those of small numbers, and those whose sums of products could pass 64 bits, as plain integers."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    wide = (x >= NARROW).any(axis=1) | (x <= -NARROW).any(axis=1)
+    for w in (False, True):
+        at = np.flatnonzero(wide == w)
+        if len(at):
+            yield w, ids[at], x[at].astype(object) if w else x[at]
+
+
+def _search(asked, k: int):
+    """Segments of the rows (dim, vec_id, q) as they come, each against all queries of its dimension."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[Best]] = {dim: [Best(ids, q, k) for _, ids, q in parts] for dim, parts in asked.value.items()}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def segment(key: tuple[int, bool], last: bool) -> None:
+            ids, rows = (np.concatenate(x) for x in zip(*held[key], strict=True))
+            upto = len(ids) if last else len(ids) // SEGMENT_ROWS * SEGMENT_ROWS
+            for at in range(0, upto, SEGMENT_ROWS):
+                own = np.arange(at, min(at + SEGMENT_ROWS, upto))
+                own = own[np.argsort(ids[own], kind="stable")]
+                made = Segment(ids[own], rows[own])
+                for x in best[key[0]]:
+                    x.add(made)
+            held[key] = [(ids[upto:], rows[upto:])]
+
+        for batch in batches:
+            dims = batch.column(0).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
+                if dim not in best:
+                    continue
+                own = batch.filter(pa.array(dims == dim))
+                for wide, ids, rows in _matrices(own.column(1).to_numpy(zero_copy_only=False), own.column(2), dim):
+                    key = (dim, wide)
+                    held.setdefault(key, []).append((ids, rows))
+                    if sum(len(x) for x, _ in held[key]) >= SEGMENT_ROWS:
+                        segment(key, False)
+        for key in held:
+            segment(key, True)
+        for parts in best.values():
+            for x in parts:
+                yield x.rows()
 
     return search
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, q`` (array of floor(SCALE * x)) of rows with an id and a whole, finite vector."""
+    """``vec_id, q`` (array of floor(SCALE * x)) of rows with an id and a whole, finite vector; beyond ``LIMIT`` a number counts as that."""
     v = F.col(vector_col)
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = df.filter(F.col(id_col).isNotNull()).filter(good)
-    whole = F.transform(v, lambda x: F.floor(x.cast("double") * SCALE))
-    bounded = F.transform(whole, lambda x: F.when(F.abs(x) < LIMIT, x.cast("long")).otherwise(F.raise_error(F.lit(f"a component exceeds {LIMIT} / {SCALE}")).cast("long")))
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), bounded.alias("q"))
+    whole = F.transform(v, lambda x: F.floor(F.least(F.greatest(x.cast("double") * SCALE, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("long"))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("q"))
 
 
-def top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each query the k highest inner products with other rows.
 
     ``is_query`` is a condition on ``vec_id``.  Vectors that are null, empty or hold a null, NaN or
     infinity take no part, nor do rows of a null id; vectors of another length are no candidates.
     Repeated rows are candidates each; a query id that recurs asks once, with its smallest vector.
     Fewer candidates than k give fewer rows; an empty table none.  Other columns aren't read.
+    Scores are exact however large the numbers; a score beyond 64 bits reads as the largest or smallest long.
 
-    Segments and query blocks have bounded sizes, and each pair of them is one task's work, so
-    neither side is broadcast or gathered; what is exchanged is each segment once for each block of queries.
+    Rows stay where they are: every task makes segments of what it reads, and keeps the k best of each query.
+    Queries are broadcast, ``query_rows`` at a time; more of them are asked in further passes over the vectors.
     """
     spark = df.sparkSession
-    ship(spark)
-    rows = materialise(quantised(df, id_col, vector_col).withColumn("dim", F.size("q")), "vectors")
+    rows = materialise(spread(quantised(df, id_col, vector_col).select(F.size("q").alias("dim"), "vec_id", "q")), "vectors")
     asked = rows.filter(is_query(F.col("vec_id"))).groupBy("dim", "vec_id").agg(F.min("q").alias("q"))
     asked = materialise(asked.groupBy("vec_id").agg(F.min(F.struct("dim", "q")).alias("x")).select("vec_id", "x.dim", "x.q"), "asked")
-    n, m = rows.count(), asked.count()
-    segments, blocks = max(1, math.ceil(n / SEGMENT_ROWS)), max(1, math.ceil(m / QUERY_BLOCK))
-    salt = F.xxhash64("vec_id", "q")
-    left = asked.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    left = left.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
-    right = rows.select("*", F.pmod(salt, F.lit(segments)).cast("int").alias("segment"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "segment", "block"]
-    cells = segments * blocks
-    found = left.repartition(cells, *keys).groupBy(*keys).cogroup(right.repartition(cells, *keys).groupBy(*keys)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    passes = max(1, math.ceil(asked.count() / query_rows))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = None
+    for i in range(passes):
+        got = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).orderBy("vec_id").toArrow()  # about query_rows rows
+        queries = {}
+        for dim in sorted(set(got["dim"].to_pylist())):
+            own = got.filter(pa.array(got["dim"].to_numpy() == dim)).combine_chunks()
+            queries[dim] = list(_matrices(own["vec_id"].to_numpy(), own["q"].chunk(0), dim))
+        found = arrow_map(spread(rows), _search(spark.sparkContext.broadcast(queries), k), "query_id long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found if passes == 1 else materialise(found, "best")
+        out = found if out is None else out.unionByName(found)
+    return out

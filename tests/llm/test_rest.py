@@ -54,16 +54,20 @@ def test_segments_are_exact():
 
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [0.5, -0.25]), (1, [0.5, -0.25]), (2, [0.5, -0.25]), (2, [0.1, 0.1]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [0.5, 0.5]), (100, [-1.0, 0.0])]
+    rows = [(0, [0.5, -0.25]), (900, [3e5, -7e4]), (901, [1e18, 2.0]), (902, [-2e38, 1e30]), (1, [0.5, -0.25]), (2, [0.5, -0.25]), (2, [0.1, 0.1]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [0.5, 0.5]), (100, [-1.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, q string, dim int")
     got = bsi_topk.top_k(df, lambda c: c % 100 == 0, 3).orderBy("query_id", "rank").collect()
-    q = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i in (0, 1, 2, 100)]
+    top = 1 << 62
+    whole = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    q = [(i, [min(max(math.floor(1024 * float(np.float32(x))), -top), top) for x in v]) for i, v in whole]
     want = []
     for i, v in q:
         if i % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i)[:3]
-            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i and len(w) == len(v))[:3]
+            want += [(i, r + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, j) in enumerate(best)]
     assert [tuple(r) for r in got] == sorted(want)
+    # Queries in several passes, segments of several tasks.
+    assert [tuple(r) for r in bsi_topk.top_k(df.repartition(5), lambda c: c % 100 == 0, 3, query_rows=1).orderBy("query_id", "rank").collect()] == sorted(want)
     assert bsi_topk.top_k(df.limit(0), lambda c: c % 100 == 0).collect() == []
 
 
