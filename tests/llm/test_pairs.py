@@ -124,21 +124,50 @@ def test_decontamination(spark, docs):
     assert len(got) == len(rows)
     want = sorted(str((i, *_hits(t, items, 10))) for i, t, *_ in rows)
     assert sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in got) == want
-    decontam_split = decontam.AUTOMATON_WORDS
-    decontam.AUTOMATON_WORDS = 5
-    try:
-        again = decontam.find_contamination(docs(rows), bench).collect()
-    finally:
-        decontam.AUTOMATON_WORDS = decontam_split
-    assert sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in again) == want
+    # Many automata find what one finds.
+    again = decontam.find_contamination(docs(rows), bench, most=9).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_automaton_of_many_items():
+    """Windows, items and lengths against sets of word sequences; arrays hold each state once."""
+    rng = np.random.default_rng(6)
+    for size in (1, 2, 3, 30):
+        items = [(str(k), [b"w%d" % x for x in rng.integers(0, size, int(rng.integers(1, 40)))]) for k in range(12)]
+        a = decontam.SuffixAutomaton(items, 4)
+        assert len(a.word) <= 2 * sum(len(w) for _, w in items) + 1
+        for _ in range(20):
+            seq = [b"w%d" % x for x in rng.integers(0, size + 1, int(rng.integers(1, 60)))]
+            if rng.random() < 0.5:
+                k = int(rng.integers(0, 12))
+                seq[3:3] = items[k][1][1:9]
+            ranges, found = a.scan(seq)
+            hit, own = set(), set()
+            for k, (_, w) in enumerate(items):
+                n = min(4, len(w))
+                grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+                for i in range(len(seq) - n + 1):
+                    if tuple(seq[i : i + n]) in grams:
+                        hit |= set(range(i, i + n))
+                        own.add(k)
+            assert {i for x, y in ranges for i in range(x, y)} == hit and found == own
 
 
 def test_remove_contamination(spark, docs):
     item = "one two three four five six seven eight nine ten"
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    rows = [(1, f"Before it stood this: {item.title()}, and after it so many more words that it stays.", "en", "s"), (2, item, "en", "s"), (3, None, "en", "s"), (4, "clean é", "en", "s")]
-    got = {r["doc_id"]: r["text"] for r in decontam.remove_contamination(docs(rows), bench).collect()}
-    assert got == {1: "Before it stood this:  , and after it so many more words that it stays.", 3: None, 4: "clean é"}
+    bench = spark.createDataFrame([(1, item), (2, "other words that are of no text here but of the test")], "item_id long, text string")
+    long = "w1 " * 200000
+    rows = [(1, f"Before it stood this: {item.title()}, and after it so many more words that it stays.", "en", "s"), (2, item, "en", "s"), (3, None, "en", "s"), (4, "clean é", "en", "s"), (5, "", "en", "s")]
+    rows += [(6, long + item + " é", "en", "s"), rows[0], (None, rows[0][1], "en", "s"), (1, "another text of this id", "en", "s")]
+    cut = "Before it stood this:  , and after it so many more words that it stays."
+    want = [(1, cut), (1, cut), (None, cut), (3, None), (4, "clean é"), (5, ""), (6, long + "  é"), (1, "another text of this id")]
+    df = docs(rows).withColumnRenamed("rank", "spans").withColumnRenamed("h", "items")
+    for most in (decontam.AUTOMATON_WORDS, 11):
+        out = decontam.remove_contamination(df, bench, most=most)
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    none = bench.limit(0)
+    assert decontam.remove_contamination(df, none).count() == len(rows) and decontam.remove_contamination(df.limit(0), bench).collect() == []
 
 
 def _passage(tag, n):
