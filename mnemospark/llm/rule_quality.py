@@ -261,7 +261,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).orderBy(F.md5(F.concat(F.lit("train"), F.col("_id").cast("string"))), "_id", "_label").limit(train_rows)
     # `train_rows` ids at most are broadcast.
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
-    got = with_statistics(rows, ["_id", "_label"], "_t").orderBy("_kept__id", "_kept__label", *STATISTICS[:3]).drop("_kept__id").toArrow()
+    # Sorted here, not by Spark, which would read the texts once more to find ranges.
+    got = with_statistics(rows, ["_id", "_label"], "_t").toArrow().sort_by([(c, "ascending") for c in ("_kept__id", "_kept__label", *STATISTICS)])
     x = np.stack([got[c].to_numpy() for c in STATISTICS], axis=1)
     return fit(x, got["_kept__label"].to_numpy())
 
