@@ -123,6 +123,71 @@ def test_extract_split_articles(spark):
     assert got == {**want, 7: "Title n7 First n7 words A note. Second n7 words, longer ones, n7 Said n7 Last n7"}
 
 
+def test_extract_markup():
+    text = lambda page: template_extract.extract(page, None)
+    assert text('<div class="content-with-sidebar"><article><p>a</p></article></div>') == "a"
+    assert text('<main><div class="post share-buttons-on"><p>a</p></div></main>') == "a"
+    assert text('<article><p>a</p><article class="comment"><p>rude</p></article><div class="comment-list">rude</div></article>') == "a"
+    assert text('<article><p data-class="ad" title="class=ad">y</p><p class=ad>buy</p><p id="cookie_notice">no</p></article>') == "y"
+    assert text('<article><script/>var x="leak"</script>a<style/>b</style></article>') == "a"
+    assert text('<article><div class="article-header"><h1>t</h1></div><div class="site-header">no</div><p class="unclosed>a</p><p>b</p></article>').startswith("t")
+    assert text("<p>" + "long words " * 50000 + "<b") == ("long words " * 50000).strip()
+    assert text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
+
+
+def _host(page, n=8, name="a.b"):
+    return [(i, f"http://{name}/{i}", page(i)) for i in range(n)]
+
+
+def test_template_decides(spark):
+    """Hosts without an article element and without telling names: what is content follows from what varies, and where."""
+
+    def page(i, swapped=False, extra=""):
+        intro, rank = f"<div class=k1><i>Our house</i></div>", f"<div class=k2><u>Best of all</u></div>"
+        links = "".join(f"<li><a href={k}>entry {i * 7 + k}</a></li>" for k in range(5))
+        return f"<body>{rank + intro if swapped else intro + rank}<div class=k3><ul>{links}</ul></div><div class=k4><h2>Head {i}</h2><p>First words of {i}.</p><p>More {'words ' * (i + 3)}here.</p></div>{extra}<div class=k5><em>All rights of the house</em></div></body>"
+
+    rows = _host(page)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in template_extract.extract_main_text(df.repartition(3)).collect()}
+    for i, _, html_ in rows:
+        want = " ".join(f"Head {i} First words of {i}. More {'words ' * (i + 3)}here.".split())
+        assert got[i] == want
+        # Without the template all text of the page is content.
+        off = template_extract.extract(html_, None)
+        assert off != want and off.startswith("Our house") and "entry" in off
+
+
+def test_template_is_verified(spark):
+    """Tokens out of order on many pages leave the frame; lists are nested in the slot that holds them, or are none."""
+    pages = spark.createDataFrame(
+        _host(lambda i: "<body>" + ("<s>x</s><tt>y</tt>" if i % 2 else "<tt>y</tt><s>x</s>") + "<ul>" + "<li><a>l</a>" * (i + 2) + f"</ul><b>q</b><p>Text {i}</p>" + "<em>" * (i + 1) + "</em>" * (i + 1) + "<hr></body>"),
+        "id long, url string, page string",
+    ).withColumn("host", F.lit("a.b"))
+    known = template_extract.candidates(pages.drop("host")).first()
+    d = lambda kind, name: template_extract.digest((kind, name, ""))
+    assert {d("start", "s"), d("start", "tt"), d("text", "x"), d("start", "ul"), d("start", "b")} <= set(known["frame"])
+    t = template_extract.templates(pages).first()
+    # Of the two that change places at most one stays; what keeps its order stays, in order.
+    assert not ({d("text", "x"), d("text", "y")} <= set(t["frame"]))
+    at = {x: k for k, x in enumerate(t["frame"])}
+    assert at[d("start", "ul")] < at[d("end", "ul")] < at[d("start", "b")] < at[d("start", "hr")]
+    by = {x["token"]: x["class"] for x in known["lists"]}
+    slot = {x["class"]: x["slot"] for x in t["nested"]}
+    assert slot[by[d("start", "li")]] == d("start", "ul") and by[d("start", "li")] == by[d("start", "a")]
+
+
+def test_deduce():
+    e = lambda kind, key, **n: {**dict.fromkeys(("other", "pages", "chars", "links", "main", "out", "low", "high"), 0), "kind": kind, "key": key, **n}
+    slot = lambda key, **n: e(2, key, **{"pages": 10, "low": 1, "high": 9, **n})
+    known = [e(0, 0, pages=10), e(1, 6, pages=3), slot(5, chars=100), slot(6, chars=50), slot(7, chars=90, links=80), slot(8, chars=70, out=60), slot(9, chars=40, low=4, high=4), e(3, 77, other=7, pages=40, links=40), e(3, 78, other=5, pages=5), e(3, 78, other=7, pages=5)]
+    t = template_extract.deduce([5, 6, 7, 8, 9], known)
+    # 6 is astray on 3 of 10 pages, its slot is one with 5's; 7 holds a menu; 8 is no article text; 9 doesn't vary; the class 78 is in no one slot.
+    assert t.frame == [5, 7, 8, 9] and t.content == {5} and t.nested == {77: 7} and not t.marked
+    t = template_extract.deduce([5, 6, 7, 8, 9], [*known, slot(7, main=70)])
+    assert t.content == {7} and t.marked
+
+
 # --- mixture -------------------------------------------------------------------------------------------------------
 
 
