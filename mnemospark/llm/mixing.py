@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Leaves that are broadcast at most.
+LEAVES = 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -127,7 +129,9 @@ def select_prefix(d: DataFrame, plan: MixPlan) -> DataFrame:
         F.expr("budget % tokens").alias("part"),
         F.ceil(F.sqrt("rows")).cast("long").alias("cells"),
     )
-    d = d.join(leaves, leaf)
+    leaves = materialise(leaves, "leaves")
+    # Broadcast behind a check; more leaves than that are met by a join of two plain sides, whose hot keys Spark splits.
+    d = d.join(F.broadcast(leaves) if leaves.limit(LEAVES + 1).count() <= LEAVES else leaves, leaf)
     d = d.withColumn("h", order_key(plan, F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = d.withColumn("cell", F.expr("h * cells div 4294967296"))
     cells = d.groupBy(*leaf, "cell").agg(F.sum("n_tokens").alias("n"))

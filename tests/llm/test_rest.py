@@ -5,6 +5,7 @@ import html
 import json
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -395,6 +396,68 @@ def test_chat_query(spark):
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
+def test_mix_with_many_leaves(spark, docs, monkeypatch):
+    """Leaves that aren't broadcast give the same mixture."""
+    plan = mixing.MixPlan({"a": (3, ("src0",)), "b": (1, ("src1",))}, {"en": 2}, max_epochs=2, budget_percent=60)
+    key = lambda df: Counter(map(tuple, df.collect()))
+    small = key(mixing.mix(docs(sample_rows()), plan))
+    monkeypatch.setattr(mixing, "LEAVES", 1)
+    assert key(mixing.mix(docs(sample_rows()), plan)) == small
+
+
+def _edges():
+    """Texts good and bad, copies, repeated rows, nulls in every column, empty and very long texts, a benchmark passage."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    good = [" ".join(word() for _ in range(60)) + "." for _ in range(40)]
+    passage = " ".join(f"item{i}" for i in range(14))
+    rows = [(i, t, "en", f"src{i % 3}") for i, t in enumerate(good)] + [(100 + i, "!!! ### " * 20 + word(), "en", "src1") for i in range(40)]
+    rows += [(200, good[0], "en", "src0"), (201, good[1] + " more", "en", "src1"), (202, good[2] + " " + passage + " end of it", None, None), (203, passage, "en", "src0"), (204, None, "en", "src0"), (205, "", None, "src1")]
+    rows += [(206, " ".join(word() for _ in range(60000)), "de", "src2"), rows[5], (None, " ".join(word() for _ in range(50)), "en", "src0"), (None, None, None, None)]
+    return rows, passage
+
+
+def test_pipeline_edges(spark, docs, tmp_path, monkeypatch):
+    """Every stage takes what a table may hold, and an empty one; what it keeps is what its plain rule keeps."""
+    import corpus_pipeline as p
+
+    rows, passage = _edges()
+    labels = [(i, int(i < 100)) for i in [*range(40), *range(100, 140)]] + [(3, None), (None, 1), (999, 0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    stage = dict(p.STAGES)
+    df = docs(rows)
+    ids = lambda x: Counter((r["doc_id"], r["text"]) for r in x.collect())
+    every = Counter(r[:2] for r in rows)
+
+    kept = stage["quality"](spark, df, sf)
+    assert kept.columns == df.columns and ids(kept) <= every and sum(ids(kept).values()) >= 40 and not any(i is not None and 100 <= i < 140 for i, _ in ids(kept))
+    once = stage["near_duplicates"](spark, df, sf)
+    got = ids(once)
+    assert once.columns == df.columns and got <= every and (200, rows[0][1]) not in got and all(n == 1 for (i, _), n in got.items() if i is not None)
+    assert {k: n for k, n in got.items() if k[0] is None} == {k: n for k, n in every.items() if k[0] is None}  # rows of a null id stay
+    clean = stage["decontaminate"](spark, df, sf)
+    got = ids(clean)
+    assert clean.columns == df.columns and sum(got.values()) == len(rows) - 1 and (203, passage) not in got
+    assert all(passage not in (t or "") for _, t in got) and ids(clean.filter("doc_id < 100")) == Counter(r[:2] for r in rows if r[0] is not None and r[0] < 100)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean.collect())
+    mixed = stage["mix"](spark, df, sf)
+    assert mixed.columns == df.columns and ids(mixed) <= every
+    words = lambda c: sum(n * len((t or "").split()) for (_, t), n in c.items())
+    assert 0.8 * words(every) <= words(ids(mixed)) <= 0.8 * words(every) + 70000
+    placed = stage["shard"](spark, df, sf)
+    assert placed.columns == [*df.columns, "shard", "slot"] and ids(placed) == every and len({(r["shard"], r["slot"]) for r in placed.collect()}) == len(rows)
+
+    empty = docs([])
+    for name, f in p.STAGES:
+        assert f(spark, empty, sf).collect() == [], name
+    df.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf}/documents.parquet")
+    whole = p.run(spark, sf).collect()
+    slots = Counter(r["shard"] for r in whole)
+    assert whole and max(slots.values()) - min(slots[s] for s in range(16)) <= 1
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline as p
