@@ -18,9 +18,11 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a temporary folder if all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("mnemospark.local.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="mnemospark-")
         spark.conf.set("mnemospark.local.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,11 +35,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _file(spark, path)
+    return system.exists(where)
+
+
+def mended(df: DataFrame) -> list[tuple[str, int, int]]:
+    """The files that a table is read from, with their sizes and times of change."""
+    out = []
+    for name in sorted(df.inputFiles()):
+        where, system = _file(df.sparkSession, name)
+        status = system.getFileStatus(where)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return out
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the intermediate tables under the shared folder; results that still read them must be written first."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/mnemospark"
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, system = _file(spark, f"{shared_dir(spark)}/mnemospark")
+    system.delete(where, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,15 +93,17 @@ def spread(rows: DataFrame) -> DataFrame:
 def against_requests(rows: DataFrame, requests: DataFrame, condition: Column | Callable[[], Column] | None = None) -> DataFrame:
     """Every row beside every request that meets ``condition``.
 
-    A batch of ``BATCH`` requests at most is broadcast, after a count.  A larger one is dealt into
-    blocks of that size, each row is sent to each block, and both meet by an equi-join on the block.
+    The requests are written, so that they are made once.  A batch of ``BATCH`` at most is broadcast; of a larger one
+    ``BATCH`` at a time, in as many passes over the rows, so that rows stay where they are.
     """
-    n = requests.limit(BATCH + 1).count()
+    requests = materialise(requests, "requests")
+    n = requests.count()  # of Parquet footers
     if n <= BATCH:
-        small = F.broadcast(requests.limit(BATCH))
-        return rows.join(small, condition) if condition is not None else rows.crossJoin(small)
-    blocks = -(-requests.count() // BATCH)
-    left = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = requests.withColumn("_block", F.pmod(F.xxhash64(*requests.columns), F.lit(blocks)).cast("int"))
-    out = left.join(right, "_block").drop("_block")
-    return out.filter(condition) if condition is not None else out
+        return rows.join(F.broadcast(requests), condition if condition is not None else F.lit(True))
+    blocks = -(-n // BATCH)
+    block = F.pmod(F.xxhash64(*requests.columns), F.lit(blocks))
+    out = None
+    for b in range(blocks):
+        part = rows.join(F.broadcast(requests.filter(block == b)), condition if condition is not None else F.lit(True))
+        out = part if out is None else out.unionByName(part)
+    return out
