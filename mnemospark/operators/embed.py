@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import materialise, ship
 
 
 class Embedder(Protocol):
@@ -47,3 +47,17 @@ def embedded(rows: DataFrame, embedder: Embedder, text_col: str = "content") ->
             yield pd.Series(list(embedder.embed(texts.fillna("").tolist())))
 
     return rows.withColumn("embedding", run(F.col(text_col)))
+
+
+def embedded_once(rows: DataFrame, embedder: Embedder, text_col: str = "content", cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``embedding``, and the texts that were embedded anew (``sha256, embedding``).
+
+    Each distinct text is embedded once, and not at all if the ``cache`` (sha256, embedding) has it.  Texts are known by their digests; a null text is an empty one.
+    """
+    keyed = rows.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_sha", F.sha2("_text", 256))
+    texts = keyed.select(F.col("_sha").alias("sha256"), "_text").dropDuplicates(["sha256"])
+    if cache is not None:
+        texts = texts.join(cache.select("sha256"), "sha256", "left_anti")
+    fresh = materialise(embedded(texts, embedder, "_text").select("sha256", "embedding"), "embedded")
+    known = fresh if cache is None else fresh.unionByName(cache.select("sha256", "embedding"))
+    return keyed.join(known, keyed["_sha"] == known["sha256"]).drop("_text", "_sha", "sha256"), fresh

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MemoryConfig
@@ -69,17 +69,19 @@ def compress_candidates(memories: DataFrame, as_of: Column, config: MemoryConfig
 
 
 def compress(parts: DataFrame, group: str, order: str) -> DataFrame:
-    """One row for each group: ids, decisions and conclusions, clamped mean importance, lengths.
+    """One row for each group: ids, decisions and conclusions (texts that mention one), clamped mean importance, lengths.
 
-    The summary itself is a model's and not made here; ``ratio`` is of what is kept to what there was.
+    The summary itself is a model's and not made here; ``ratio`` is of what is kept to what there was.  A group is a conversation: its
+    texts that are kept meet in one row.
     """
     decision, conclusion = X.mentions(F.col("content"), X.DECISION_WORDS), X.mentions(F.col("content"), X.CONCLUSION_WORDS)
     kept = decision | conclusion
+    texts = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct(order, "id", "content")))), lambda x: x["content"])
     return parts.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "id"))), lambda x: x["id"]), ",").alias("original_ids"),
-        F.count_if(decision).alias("n_decisions"),
-        F.count_if(conclusion).alias("n_conclusions"),
+        texts(decision).alias("decisions"),
+        texts(conclusion).alias("conclusions"),
         F.round(F.least(F.greatest(F.avg("importance"), F.lit(0.3)), F.lit(0.7)), 6).alias("importance"),
         F.round(F.sum(F.when(kept, F.char_length("content")).otherwise(0)) / F.sum(F.char_length("content")), 6).alias("ratio"),
     )
@@ -94,5 +96,4 @@ def consolidation_gate(memories: DataFrame, as_of: Column, last_run: Column, min
 
 def active_projects(projects: DataFrame) -> DataFrame:
     """The project last activated, of a table (project_id, activated_at)."""
-    w = Window.orderBy(F.desc("activated_at"), "project_id")
-    return projects.orderBy(F.desc("activated_at"), "project_id").limit(1).withColumn("rank", F.row_number().over(w)).drop("rank")
+    return projects.orderBy(F.desc("activated_at"), "project_id").limit(1)

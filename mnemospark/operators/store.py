@@ -100,38 +100,49 @@ def importance_histogram(memories: DataFrame, buckets: int = 10) -> DataFrame:
     return live(memories).groupBy(bucket.alias("bucket"), "memory_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _lives(oplog: DataFrame) -> DataFrame:
+    """Operations of each record's present life: since its last add, with ``_since``, where its deletes begin to count.
+
+    Operations have a sequence number, so the order of arrival doesn't matter and replays change nothing.  Two aggregations and a join by id, no sorted
+    groups; a record with very many operations is a skewed key of the join, which Spark splits.
+    """
+    once = oplog.dropDuplicates(["id", "seq"])
+    start = F.max(F.when(F.col("op") == "add", F.col("seq")))
+    edges = once.groupBy("id").agg(F.coalesce(start, F.lit(-1)).alias("_from"), F.coalesce(F.max(F.when(F.col("op").isin("add", "recover"), F.col("seq"))), F.lit(-1)).alias("_since"))
+    return once.join(edges, "id").filter(F.col("seq") >= F.col("_from"))
+
+
+def _deletes() -> tuple[Column, Column]:
+    """How many deletes count, and when the first of them was."""
+    counts = (F.col("op") == "delete") & (F.col("seq") > F.col("_since"))
+    return F.count_if(counts), F.min(F.when(counts, F.col("ts")))
+
+
 def fold(oplog: DataFrame) -> DataFrame:
     """The state that a log of operations leaves: ``id, value, tags, is_deleted, deleted_at``.
 
-    Operations have a sequence number, so the order of arrival doesn't matter and replays change nothing.  A first
-    delete hides a record, a second removes it; an add after that begins anew.  All is one aggregation by id
-    over operations after the last removal.
+    A first delete hides a record, a recovery shows it again, a second delete removes it; an add after that begins anew.
+    The value is that of the last add or update.
     """
-    once = oplog.dropDuplicates(["id", "seq"])
-    w = Window.partitionBy("id").orderBy("seq")
-    # Adds open a life; deletes within a life are numbered.
-    adds = F.sum((F.col("op") == "add").cast("int")).over(w)
-    numbered = once.withColumn("_deletes", F.sum((F.col("op") == "delete").cast("int")).over(w)).withColumn("_adds", adds)
-    gone = numbered.groupBy("id", "_adds").agg(F.count_if(F.col("op") == "delete").alias("_n"))
-    last = Window.partitionBy("id").orderBy(F.desc("_adds"))
-    life = gone.withColumn("_r", F.row_number().over(last)).filter("_r = 1").select("id", "_adds", "_n")
-    rows = numbered.join(life, ["id", "_adds"])
+    n, at = _deletes()
     return (
-        rows.filter("_n < 2")
+        _lives(oplog)
         .groupBy("id")
         .agg(
             F.max_by("value", F.when(F.col("op").isin("add", "update"), F.col("seq"))).alias("value"),
             F.array_sort(F.collect_set(F.when(F.col("op") == "tag", F.col("value")))).alias("tags"),
-            (F.max("_n") == 1).alias("is_deleted"),
-            F.min(F.when(F.col("op") == "delete", F.col("ts"))).alias("deleted_at"),
+            n.alias("_n"),
+            at.alias("deleted_at"),
         )
+        .filter("_n < 2")
+        .select("id", "value", "tags", (F.col("_n") == 1).alias("is_deleted"), "deleted_at")
     )
 
 
 def delete_state(oplog: DataFrame) -> DataFrame:
-    """``id, state, deleted_at``: live, soft or hard."""
-    n = F.count_if(F.col("op") == "delete")
-    return oplog.groupBy("id").agg(F.when(n == 0, "live").when(n == 1, "soft").otherwise("hard").alias("state"), F.min(F.when(F.col("op") == "delete", F.col("ts"))).alias("deleted_at"))
+    """``id, state, deleted_at``: live, soft or hard, as ``fold`` sees it."""
+    n, at = _deletes()
+    return _lives(oplog).groupBy("id").agg(F.when(n == 0, "live").when(n == 1, "soft").otherwise("hard").alias("state"), at.alias("deleted_at"))
 
 
 def from_json(rows: DataFrame, column: str = "value") -> DataFrame:

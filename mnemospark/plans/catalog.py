@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..schema import NIL
 from ..sources import files
 from ..sources import fixtures as fx
 from ..streaming import ingest
+from ..runtime import shared_dir
 from . import tables_sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,6 +184,15 @@ def json_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return back.select("id", "memory_type", "content", F.round("importance", 6).cast("double").alias("importance"), "project_id", _day("created_at"), "is_deleted", "access_count", F.array_join("tags", ",").alias("tags"), "source", "scope")
 
 
+@query(_SQL["json_roundtrip"])
+def json_files(s: SparkSession, d: str) -> DataFrame:
+    """The same through files: written as JSON lines, and read back."""
+    path = f"{shared_dir(s)}/mnemospark/export-{uuid.uuid4().hex}"
+    files.write_json(M(s, d), path)
+    back = files.read_json(s, path)
+    return back.select("id", "memory_type", "content", F.round("importance", 6).cast("double").alias("importance"), "project_id", _day("created_at"), "is_deleted", "access_count", F.array_join("tags", ",").alias("tags"), "source", "scope")
+
+
 @query(f"{MEM} SELECT id, json_extract_string(value, '$.content') AS content, json_extract_string(value, '$.scope') AS scope FROM (SELECT id, to_json({{content: content, scope: scope}}) AS value FROM memories)")
 def export_json(s: SparkSession, d: str) -> DataFrame:
     return store.to_json(M(s, d)).select("id", F.get_json_object("value", "$.content").alias("content"), F.get_json_object("value", "$.scope").alias("scope"))
@@ -238,14 +249,14 @@ def missing_vectors(s: SparkSession, d: str) -> DataFrame:
     return store.missing_vectors(M(s, d), fx.embeddings(s, d)).select("id")
 
 
-_OWN = "requests AS (SELECT CAST(right(id, 12) AS BIGINT) AS qid, id AS own, embedding AS q FROM vectors WHERE CAST(right(id, 12) AS BIGINT) < 5)"
+_OWN = "requests AS (SELECT CAST(right(id, 12) AS BIGINT) AS qid, id AS own, embedding AS q FROM vectors WHERE CAST(right(id, 12) AS BIGINT) % 20 = 0)"
 
 
 @query(f"{MEM}, {S.VECTORS}, {_OWN}, {S.knn(k=5, min_score=-1.0, where='v.id <> own')} SELECT qid, id, round(score, 6) AS score, rank FROM vec")
 def similar_to(s: SparkSession, d: str) -> DataFrame:
     v = fx.vectors(s, d)
     own = F.substring("id", -12, 12).cast("long")
-    asked = v.filter(own < 5).select(own.alias("qid"), F.col("id").alias("own"), F.col("embedding").alias("q"))
+    asked = v.filter(own % 20 == 0).select(own.alias("qid"), F.col("id").alias("own"), F.col("embedding").alias("q"))
     return _hits(search.knn(v, asked, 5, -1.0, lambda: F.col("id") != F.col("own")))
 
 
@@ -343,6 +354,17 @@ def rrf_fuse(s: SparkSession, d: str) -> DataFrame:
     return search.rrf(t, v).select("qid", "id", F.round("score", 6).alias("score"))
 
 
+_TWICE = f"{S.knn(k=20, min_score=MIN_SCORE, where=S.VECTOR_SCOPE)}, {S.bm25(FIELDS_SQL)}, {S.text_hits(k=20, mode='corrected')}"
+
+
+@query(
+    f"""{MVR}, {_TWICE}, r AS (SELECT qid, id, round(sum(s), 9) AS score FROM (SELECT qid, id, 0.4 / (60 + rank) AS s FROM txt UNION ALL SELECT qid, id, 0.6 / (60 + rank) FROM vec) GROUP BY qid, id)
+    SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) WHERE rank <= 10"""
+)
+def rrf_search(s: SparkSession, d: str) -> DataFrame:
+    return _hits(search.rrf_search(M(s, d), fx.vectors(s, d), fx.requests(s, d), 10, MIN_SCORE, _fields()))
+
+
 @query(f"{MVR}, {_BRANCHES}, {S.text_hits()} SELECT qid, coalesce(v, 0) AS vec_count, coalesce(t, 0) AS fts_count FROM (SELECT qid FROM requests) LEFT JOIN (SELECT qid, count(*) AS v FROM vec GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS t FROM txt GROUP BY qid) USING (qid)")
 def branch_counts(s: SparkSession, d: str) -> DataFrame:
     v, t = _two(s, d)
@@ -387,10 +409,10 @@ def hybrid_search_corrected(s: SparkSession, d: str) -> DataFrame:
     return _hybrid(s, d, "corrected")
 
 
-@query(f"{MVR}, {S.knn(min_score=MIN_SCORE)} SELECT qid, rank, vec.id, memory_type, project_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, substr(content, 1, 200) AS preview FROM vec JOIN memories m ON m.id = vec.id")
+@query(f"{MVR}, {S.knn(min_score=MIN_SCORE)} SELECT qid, rank, vec.id, memory_type, project_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, substr(content, 1, 200) AS preview, array_to_string(tags, ',') AS tags, m.importance, false AS is_chunked FROM vec JOIN memories m ON m.id = vec.id")
 def enrich_hits(s: SparkSession, d: str) -> DataFrame:
     hits = search.knn(fx.vectors(s, d), fx.requests(s, d), 10, MIN_SCORE)
-    return search.enrich(hits, M(s, d)).select("qid", "rank", "id", "memory_type", "project_id", _day("created_at"), "preview")
+    return search.enrich(hits, M(s, d)).select("qid", "rank", "id", "memory_type", "project_id", _day("created_at"), "preview", F.array_join("tags", ",").alias("tags"), "importance", "is_chunked")
 
 
 @query(f"{MEM} SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(substr(content, 1, 200)), '[\\p{{L}}\\p{{N}}]+'))), ',') AS tokens FROM memories")
@@ -398,12 +420,22 @@ def token_set(s: SparkSession, d: str) -> DataFrame:
     return M(s, d).select("id", F.array_join(F.array_sort(X.token_set(X.preview(F.col("content")))), ",").alias("tokens"))
 
 
-@query(f"{MEM}, t AS (SELECT id, project_id, list_distinct(regexp_extract_all(lower(substr(content, 1, 200)), '[\\p{{L}}\\p{{N}}]+')) AS t FROM memories WHERE project_id = '{fx.PROJECT}') SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(list_concat(a.t, b.t)))), 6) AS jaccard FROM t a JOIN t b ON a.id < b.id AND right(a.id, 2) = '03'")
-def jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
-    t = M(s, d).filter(F.col("project_id") == fx.PROJECT).select("id", X.token_set(X.preview(F.col("content"))).alias("t"))
-    asked = t.filter(F.substring("id", -2, 2) == "03").select(F.col("id").alias("a"), F.col("t").alias("u"))
-    both = search.against_requests(t, asked, F.col("a") < F.col("id"))
-    return both.select("a", F.col("id").alias("b"), F.round(X.jaccard(F.col("u"), F.col("t")), 6).alias("jaccard"))
+@query(f"{MEM} SELECT id, len(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'))) AS n_tokens FROM memories")
+def token_set_whole(s: SparkSession, d: str) -> DataFrame:
+    return M(s, d).select("id", F.size(X.token_set(F.col("content"))).cast("long").alias("n_tokens"))
+
+
+@query(
+    f"""{MEM}, t AS (SELECT id, list_distinct(regexp_extract_all(lower(substr(content, 1, 200)), '[\\p{{L}}\\p{{N}}]+')) AS t FROM memories),
+    p AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / greatest(1, len(list_distinct(list_concat(a.t, b.t)))), 6) AS jaccard FROM t a JOIN t b ON a.id <> b.id AND CAST(right(a.id, 12) AS BIGINT) % 20 = 0)
+    SELECT a, b, jaccard, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS INTEGER) AS rank FROM p) WHERE rank <= 5"""
+)
+def jaccard_topk(s: SparkSession, d: str) -> DataFrame:
+    """Of every record whose number is divisible by 20, the five whose previews are most like its own."""
+    t = M(s, d).select("id", X.token_set(X.preview(F.col("content"))).alias("t"))
+    asked = t.filter(F.substring("id", -12, 12).cast("long") % 20 == 0).select(F.col("id").alias("a"), F.col("t").alias("u"))
+    both = search.against_requests(t, asked, F.col("a") != F.col("id"))
+    return search.top(both.select("a", "id", F.round(X.jaccard(F.col("u"), F.col("t")), 6).alias("jaccard")), 5, ["a"], "jaccard").select("a", F.col("id").alias("b"), "jaccard", "rank")
 
 
 # --- scores --------------------------------------------------------------------------------------------------------
@@ -518,11 +550,12 @@ def _any(words: tuple[str, ...]) -> str:
 
 
 @query(
-    f"""WITH {S.CHUNKS} SELECT chunk_group_id, count(*) AS n, string_agg(id, ',' ORDER BY chunk_index) AS original_ids, count(*) FILTER (WHERE {_any(X.DECISION_WORDS)}) AS n_decisions, count(*) FILTER (WHERE {_any(X.CONCLUSION_WORDS)}) AS n_conclusions,
+    f"""WITH {S.CHUNKS} SELECT chunk_group_id, count(*) AS n, string_agg(id, ',' ORDER BY chunk_index) AS original_ids, coalesce(string_agg(content, chr(10) ORDER BY chunk_index) FILTER (WHERE {_any(X.DECISION_WORDS)}), '') AS decisions, coalesce(string_agg(content, chr(10) ORDER BY chunk_index) FILTER (WHERE {_any(X.CONCLUSION_WORDS)}), '') AS conclusions,
     round(least(greatest(avg(importance), 0.3), 0.7), 6) AS importance, round(CAST(sum(CASE WHEN {_any(X.DECISION_WORDS)} OR {_any(X.CONCLUSION_WORDS)} THEN length(content) ELSE 0 END) AS DOUBLE) / sum(length(content)), 6) AS ratio FROM chunks GROUP BY chunk_group_id"""
 )
 def compress_conv(s: SparkSession, d: str) -> DataFrame:
-    return lifecycle.compress(fx.chunks(s, d), "chunk_group_id", "chunk_index")
+    out = lifecycle.compress(fx.chunks(s, d), "chunk_group_id", "chunk_index")
+    return out.withColumns({c: F.array_join(c, "\n") for c in ("decisions", "conclusions")})
 
 
 @query(f"{MEM} SELECT id, CASE WHEN length(t) < 10 THEN '' ELSE t END AS text FROM (SELECT id, CASE WHEN length(t) > 8000 THEN substr(t, 1, 8000) || '...[截断]' ELSE t END AS t FROM (SELECT id, trim(content) AS t FROM memories))")

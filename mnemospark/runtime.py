@@ -45,6 +45,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    where, system = _file(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
+
+
 def mended(df: DataFrame) -> list[tuple[str, int, int]]:
     """The files that a table is read from, with their sizes and times of change."""
     out = []

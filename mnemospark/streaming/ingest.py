@@ -38,6 +38,12 @@ def accesses(stream: DataFrame, late: str = "1 hour", window: str = "1 day") ->
     return once.groupBy(F.window("ts", window), "user_id").agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_accessed"))
 
 
+def latest(changes: DataFrame) -> DataFrame:
+    """Windows as their last change left them, of a table with the number of each change's batch."""
+    last = F.max_by(F.struct("access_count", "last_accessed"), "batch")
+    return changes.groupBy("start", "user_id").agg(last.alias("x")).select("start", "user_id", "x.*")
+
+
 def _replayed(df: DataFrame, name: str) -> tuple[str, str]:
     """A batch table as files for a stream to read, and a folder for what the stream writes."""
     top = f"{shared_dir(df.sparkSession)}/mnemospark/{name}-{uuid.uuid4().hex}"
@@ -60,7 +66,9 @@ def accessed(events: DataFrame, window: str = "1 day") -> DataFrame:
     counted = accesses(spark.readStream.schema(events.schema).parquet(source), window=window)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select("window.start", "user_id", "access_count", "last_accessed").write.mode("overwrite").parquet(f"{top}/out")
+        rows = batch.select("window.start", "user_id", "access_count", "last_accessed")
+        rows.write.mode("overwrite").parquet(f"{top}/out/batch={number}")
 
-    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{top}/out")
+    # Windows that changed come out of each batch; those behind the watermark leave the state.
+    counted.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark.read.parquet(f"{top}/out"))
