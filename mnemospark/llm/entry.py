@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bsi_topk, chat, chunk_dedup, decontam, minhash, mixing, mixlm, rule_quality, sharding, template_extract
+from . import alignment, bsi_topk, chat, chunk_dedup, decontam, merkle, minhash, mixing, mixlm, rule_quality, sharding, simhash, template_extract
 from .common import table
 
 MIX = mixing.MixPlan(
@@ -70,6 +70,24 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    out = merkle.manifest(documents, fields, "lang", "doc_id", {"text": tampered})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUALITY_FLOOR = 0.7
 CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -87,7 +105,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_extract_main_text, op3_chunk_dedup, op4_mix_sources, op5_quality_rules, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format, op10_context_mixing)}
+    return {f.__name__: f for f in (op1_topk_search, op2_extract_main_text, op3_chunk_dedup, op4_mix_sources, op5_quality_rules, op6_minhash_dedup, op7_decontaminate, op8_shard_documents, op9_chat_format, op10_context_mixing, op11_simhash_dedup, op12_merkle_manifest, op13_token_alignment)}
 
 
 def _in(names: tuple[str, ...]) -> str:
