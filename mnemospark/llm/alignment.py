@@ -38,6 +38,16 @@ SHIFT = 1 << 20
 
 #: No token of either tokenizer reaches over a single space between two other characters, so the parts are tokenised apart.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters that ``\\s`` takes, and their neighbourhoods of a space: a text with none of these is cut at every space.
+_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_IRREGULAR = [*(w + " " for w in _WHITE), *(" " + w for w in _WHITE)]
+
+
+def words_of(text: str) -> list[str]:
+    """The parts of a text between the spaces that ``CUT`` finds."""
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _IRREGULAR):
+        return CUT.split(text)
+    return text.split(" ")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -161,7 +171,7 @@ def _joined(parts: list[list[np.ndarray] | None]) -> list[np.ndarray]:
 
 
 #: Bytes of text in a batch that goes back.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 _LOADED: dict[str, Tokens] = {}
 
 
@@ -171,11 +181,11 @@ def tokenised(documents: DataFrame, id_col: str, text_col: str, tokenizers: str
     def coded(known: Tokens, texts: list[str]) -> list[pa.Array]:
         found: list[list[list[np.ndarray] | None]] = [[] for _ in texts]
         short = [i for i, t in enumerate(texts) if 0 < len(t) <= 2 * PIECE]
-        for i, got in zip(short, known.encode([CUT.split(texts[i]) for i in short]), strict=True):
+        for i, got in zip(short, known.encode([words_of(texts[i]) for i in short]), strict=True):
             found[i] = [got]
         for i, text in enumerate(texts):
             if len(text) > 2 * PIECE:
-                found[i] = [known.encode([CUT.split(x)])[0] for x in _pieces(text)]
+                found[i] = [known.encode([words_of(x)])[0] for x in _pieces(text)]
         rows = [_joined(f) for f in found]
         covers = [[np.repeat(np.arange(len(r[k])), np.diff(r[k], prepend=0)) for r in rows] for k in (1, 3)]
         return [*(_lists([r[k] for r in rows]) for k in range(4)), *map(_lists, covers)]
@@ -265,15 +275,15 @@ def counted(rows: DataFrame, counts: DataFrame, hot: int = HOT_PAIRS) -> DataFra
     return sums.unionByName(rare).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
-def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, hot: int = HOT_PAIRS) -> DataFrame:
-    """``id, n_a, n_b, n_groups, groups, n_links, n_best, count_sum`` of every row; ``groups`` as ``aligned`` writes them.
+def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, hot: int = HOT_PAIRS, shown: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
+    """``id, n_a, n_b, n_groups, groups, n_links, n_best, count_sum`` of every row; ``groups`` is what ``shown`` makes of the text that ``aligned`` writes.
 
     Null and empty texts, and those of which a tokenizer doesn't give the bytes back, have no tokens: zeros and an empty
     ``groups``.  Rows count each for itself, whatever their ids (null ones too); ties for the most rows are all best.  Other
     columns aren't read, and an empty table gives no rows.
     """
     rows = aligned(tokenised(documents, id_col, text_col, tokenizers))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
+    rows = materialise(rows.withColumns({"groups": shown(F.col("groups")), "row": F.monotonically_increasing_id()}), "aligned")
     counts = materialise(pair_counts(rows), "pair-counts")
     sums = counted(rows, counts, hot)
     out = rows.select("row", F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "groups", F.size("links").cast("long").alias("n_links")).join(sums, "row", "left")

@@ -83,9 +83,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = alignment.align(table(spark, sf_dir, "documents"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    digest = lambda groups: F.when(groups != "", F.sha2(groups, 256)).otherwise("")
+    out = alignment.align(table(spark, sf_dir, "documents"), shown=digest)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 QUALITY_FLOOR = 0.7
@@ -191,5 +191,54 @@ OP7_SQL = rf"""
     FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text: bytes of the reflected polynomial, eight shifts each."""
+    step = "xor(c, b)"
+    for _ in range(8):
+        step = f"list_reduce([{step}, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Levels one below the other, as far as 8 to their power rows; ``s`` and ``p`` of a level are a node's siblings to the left and right."""
+    enc = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END"
+    leaf = lambda t: "sha256(" + " || ".join([enc("doc_id", "doc_id::VARCHAR"), enc("source", "source"), enc("lang", "lang"), enc("n_chars", "n_chars::VARCHAR"), enc("text", t)]) + ")"
+
+    def tree(name: str, key: str, first: str) -> list[str]:
+        out = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            out.append(f"{name}s{k} AS (SELECT {key}, i, d, CASE WHEN n > 1 THEN i // 8 ELSE i END AS up, n, "
+                       f"CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l, "
+                       f"CASE WHEN n > 1 THEN coalesce(string_agg(d, '') OVER (PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r FROM {name}{k})")
+            out.append(f"{name}{k + 1} AS (SELECT {key}, up AS i, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE n END AS n FROM {name}s{k} GROUP BY {key}, up, n)")
+        return out
+
+    down, proof = "", []
+    ups = []
+    for name, on in (("x", "x0.g"), ("y", "'-'")):
+        for k in range(levels):
+            alias = f"{name}s{k}"
+            here = "x0.i" if (name, k) == ("x", 0) else ("z.i" if k == 0 else f"{ups[-1]}.up")
+            down += f" JOIN {alias} ON {alias}.g = {on} AND {alias}.i = {here}"
+            if (name, k) == ("x", levels - 1):
+                down += f" JOIN x{levels} AS e ON e.g = x0.g JOIN y0 AS z ON z.k = x0.g"
+            ups.append(alias)
+            proof.append(f"{alias}.l || {alias}.r")
+    names = [*(f"xs{k}" for k in range(levels)), *(f"ys{k}" for k in range(levels))]
+    stages = ["f0 AS (SELECT p.*, coalesce(t, leaf) AS f FROM path p)"]
+    for j, a in enumerate(names):
+        stages.append(f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN {a}_l || {a}_r = '' AND NOT {a}_m THEN f ELSE sha256({a}_l || f || {a}_r) END AS f) FROM f{j})")
+    cols = ", ".join(f"{a}.l AS {a}_l, {a}.r AS {a}_r, {a}.n > 1 AS {a}_m" for a in names)
+    text = f"CASE WHEN doc_id IS NOT NULL AND {_crc32_sql('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END"
+    first = "SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, d, t, doc_id, count(*) OVER (PARTITION BY g) AS n FROM leaves"
+    tops = f"SELECT '-' AS g, row_number() OVER (ORDER BY g) - 1 AS i, d, g AS k, count(*) OVER () AS n FROM x{levels}"
+    ctes = [
+        f"docs AS (SELECT *, {text} AS changed FROM documents)", f"leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS d, {leaf('changed')} AS t FROM docs)",
+        *tree("x", "g", first), *tree("y", "g", tops),
+        f"path AS (SELECT x0.doc_id, x0.d AS leaf, x0.t, e.d AS subroot, w.d AS root, {' || '.join(proof)} AS proof, {cols} FROM x0{down} CROSS JOIN y{levels} AS w)", *stages,
+    ]
+    return "WITH " + ", ".join(ctes) + f" SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(names)}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op4_mix_sources": _mix_sql(MIX), "op6_minhash_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {"op12_merkle_manifest": _merkle_sql(), "op1_topk_search": OP1_SQL, "op4_mix_sources": _mix_sql(MIX), "op6_minhash_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op9_chat_format": OP9_SQL}
