@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from .config import MemoryConfig, SearchConfig
 from .operators import chunking, embed, search, store
-from .operators.postings import TextIndex
-from .runtime import exists, listed
+from .operators.segments import SegmentIndex
+from .runtime import exists, listed, materialise
 from .schema import NIL, SCOPES, SOURCES
 
 LOG = T.StructType(
@@ -51,16 +51,22 @@ class MemoryEngine:
         self.spark, self.path, self.config, self.memory = spark, path.rstrip("/"), config, memory
         self.embedder = embedder or embed.HashingEmbedder()
         self._seq = 0
-        for name, schema in (("log/00000000", LOG), ("vectors", VECTORS), ("settings", SETTINGS)):
+        for name, schema in (("log/00000000", LOG), ("vectors/00000000", VECTORS), ("settings", SETTINGS)):
             if not exists(spark, f"{self.path}/{name}"):
                 spark.createDataFrame([], schema).write.parquet(f"{self.path}/{name}")
 
     # --- tables ---
 
+    def _last(self, table: str) -> str:
+        """The folder of a table's last whole generation."""
+        whole = [x for x in listed(self.spark, f"{self.path}/{table}") if exists(self.spark, f"{self.path}/{table}/{x}/_SUCCESS")]
+        return f"{self.path}/{table}/{max(whole, default='00000000')}"
+
     def _log(self) -> str:
-        """The folder of the last whole generation."""
-        whole = [x for x in listed(self.spark, f"{self.path}/log") if exists(self.spark, f"{self.path}/log/{x}/_SUCCESS")]
-        return f"{self.path}/log/{max(whole, default='00000000')}"
+        return self._last("log")
+
+    def _vectors(self) -> str:
+        return self._last("vectors")
 
     def _next(self) -> int:
         """Numbers that grow, in microseconds of time where they can."""
@@ -75,19 +81,22 @@ class MemoryEngine:
 
     def _keep(self, keys: list[str], texts: list[str]) -> None:
         rows = [(k, [float(x) for x in v], self._next()) for k, v in zip(keys, self.embedder.embed(texts), strict=True)]
-        store.accepted(self.spark.createDataFrame(rows, VECTORS), self.embedder.dimension).coalesce(1).write.mode("append").parquet(f"{self.path}/vectors")
+        store.accepted(self.spark.createDataFrame(rows, VECTORS), self.embedder.dimension).coalesce(1).write.mode("append").parquet(self._vectors())
 
     def memories(self, key: str | None = None) -> DataFrame:
         """Records, live and hidden; of one id, only its operations are read and folded."""
         log = self.spark.read.schema(LOG).parquet(self._log())
-        state = store.fold(log.filter(F.col("id") == key) if key is not None else log)
+        return self._records(log.filter(F.col("id") == key) if key is not None else log)
+
+    def _records(self, log: DataFrame) -> DataFrame:
+        state = store.fold(log)
         flags = state.select("id", F.col("is_deleted").alias("_d"), F.col("deleted_at").alias("_at"), F.col("tags").alias("_tags"))
         rows = store.from_json(state).drop("is_deleted", "deleted_at").join(flags, "id")
         return rows.withColumn("tags", F.array_union("tags", "_tags")).drop("_tags").withColumnsRenamed({"_d": "is_deleted", "_at": "deleted_at"})
 
     def vectors(self) -> DataFrame:
         """The last vector of each id."""
-        rows = self.spark.read.schema(VECTORS).parquet(f"{self.path}/vectors")
+        rows = self.spark.read.schema(VECTORS).parquet(self._vectors())
         return rows.groupBy("id").agg(F.max_by("embedding", "seq").alias("embedding"))
 
     # --- records ---
@@ -129,15 +138,19 @@ class MemoryEngine:
         value |= {k: v for k, v in changes.items() if v is not None}
         if content is not None:
             self._keep([key], [content])
-        self._op("update", key, json.dumps({k: v for k, v in value.items() if k not in ("is_deleted", "deleted_at")}))
+        # The whole record is written, so tags that are given take the place of all before.
+        self._op("update" if tags is None else "replace", key, json.dumps({k: v for k, v in value.items() if k not in ("is_deleted", "deleted_at")}))
 
     def add_tag(self, key: str, tag: str) -> None:
         self._record(key)
         self._op("tag", key, tag)
 
-    def delete(self, key: str) -> None:
-        """Hides a record; a second delete removes it."""
+    def delete(self, key: str) -> bool:
+        """Hides a record; a second delete removes it.  Whether there was one: a missing id changes nothing."""
+        if self.memories(key).isEmpty():
+            return False
         self._op("delete", key)
+        return True
 
     def recover(self, key: str) -> None:
         """Shows a hidden record again, within the days that it is kept."""
@@ -155,7 +168,10 @@ class MemoryEngine:
         return store.stats(self.memories(), mode)
 
     def compact(self) -> None:
-        """Writes the folded state as a new generation of the log; earlier ones stay for those who read them."""
+        """Writes the folded state as a new generation of the log, and the last vectors as one of theirs; earlier ones stay for those who read them.
+
+        The text index becomes one segment, and what it no longer needs is deleted."""
+        index = self.index()
         old = self._log()
         new = f"{self.path}/log/{int(old.rsplit('/', 1)[1]) + 1:08d}"
         log = self.spark.read.schema(LOG).parquet(old)
@@ -169,27 +185,53 @@ class MemoryEngine:
         ops = F.concat(F.array(op("add", F.col("value"), base + 1)), tags, F.coalesce(hidden, F.slice(tags, 1, 0)))
         rows = state.select("id", F.explode(ops).alias("o")).select("o.seq", "o.ts", "o.op", "id", "o.value")
         rows.write.mode("overwrite").parquet(new)
+        # The state is the same, so the text index holds for the new generation too.
+        index.change(mark=self._mark())
+        index.merge(everything=True)
+        index.vacuum()
+        self._compact_vectors()
 
     def rebuild_vectors(self) -> int:
         """Embeds the live records that have no vector, each distinct text once; how many there were."""
         rows = store.missing_vectors(self.memories(), self.vectors()).select("id", "content")
         made, _ = embed.embedded_once(rows, self.embedder)
         made = store.accepted(made, self.embedder.dimension).select("id", "embedding", F.lit(self._next()).cast("long").alias("seq"))
-        before = self.spark.read.schema(VECTORS).parquet(f"{self.path}/vectors").count()
-        made.write.mode("append").parquet(f"{self.path}/vectors")
-        return self.spark.read.schema(VECTORS).parquet(f"{self.path}/vectors").count() - before
+        before = self.spark.read.schema(VECTORS).parquet(self._vectors()).count()
+        made.write.mode("append").parquet(self._vectors())
+        return self.spark.read.schema(VECTORS).parquet(self._vectors()).count() - before
 
     # --- search ---
 
-    def index(self) -> TextIndex:
-        """The text index of the records as they are, written once for each state of the log."""
-        state = f"{self.path}/index/{self._state()}"
-        return TextIndex.open(store.live(self.memories()), _fields(), state)
-
-    def _state(self) -> str:
+    def _mark(self) -> list:
+        """The generation of the log and its last number: what a text index has seen."""
         log = self._log()
-        # Files are only added: their number tells the state of a generation.
-        return f"{log.rsplit('/', 1)[1]}-{sum(x.startswith('part-') for x in listed(self.spark, log))}"
+        return [log.rsplit("/", 1)[1], int(self.spark.read.schema(LOG).parquet(log).agg(F.max("seq")).first()[0] or 0)]
+
+    def index(self) -> SegmentIndex:
+        """The text index of the live records, brought up to the log: one segment for all that changed since the last time."""
+        index, mark = SegmentIndex(self.spark, f"{self.path}/text", _fields()), self._mark()
+        if index.state["mark"] == mark:
+            return index
+        if index.state["mark"] is None or index.state["mark"][0] != mark[0]:
+            index.clear()
+        seen = (index.state["mark"] or [None, -1])[1]
+        log = self.spark.read.schema(LOG).parquet(self._log()).filter(F.col("seq") <= mark[1])
+        if seen < 0:
+            index.change(store.live(self._records(log)), mark=mark)
+            return index
+        touched = materialise(log.filter(F.col("seq") > seen).select("id").distinct(), "touched")
+        own = log.join(touched, "id", "left_semi")
+        # Written, so that both folds are made once.
+        old, new = (materialise(store.live(self._records(x)).select("id", "content", "tags"), "changed") for x in (own.filter(F.col("seq") <= seen), own))
+        index.change(new, old, mark)
+        return index
+
+    def _compact_vectors(self) -> None:
+        """Writes the last vector of each record that is still there as a new generation, in files of a useful size."""
+        old = self._vectors()
+        new = f"{self.path}/vectors/{int(old.rsplit('/', 1)[1]) + 1:08d}"
+        last = self.spark.read.schema(VECTORS).parquet(old).groupBy("id").agg(F.max_by(F.struct("embedding", "seq"), "seq").alias("v")).select("id", "v.embedding", "v.seq")
+        last.join(self.memories().select("id"), "id", "left_semi").write.mode("overwrite").parquet(new)
 
     def search(self, text: str, k: int = 10, min_score: float = 0.5, mode: str = "parity", project: str | None = None, as_of: Column | None = None, merge_chunks: bool = False, **flags) -> DataFrame:
         """Hits of one request; with ``merge_chunks`` the parts of a split record are one hit with its whole text.

@@ -69,6 +69,42 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([g for g, _ in got], pa.list_(pa.string())), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=names)
 
 
+def spelled(docs: DataFrame, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``id, field, text, len`` of the fields that aren't null, and ``gram, field, id, tf, len`` of their grams (one row without a gram where a text has none)."""
+    ship(docs.sparkSession)
+    text = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.lower(c).alias("text")) for name, c in fields.items())))
+    rows = spread(docs.select("id", text.alias("f")).select("id", "f.field", "f.text").filter("text is not null"))
+    n = F.char_length("text")
+    size = sum((F.greatest(F.lit(0), n - (k - 1)) for k in range(LOW, HIGH + 1)), F.lit(0)).cast("long")
+    rows = rows.withColumn("len", size)
+    found = rows.mapInArrow(_post, "id string, field string, len long, grams array<string>, tf array<int>")
+    # Of a text one row goes over from Python; its grams are spelled out here.
+    found = found.select("id", "field", "len", F.explode_outer(F.arrays_zip("grams", "tf")).alias("g"))
+    return rows, found.select(F.col("g.grams").alias("gram"), "field", "id", F.col("g.tf").alias("tf"), "len")
+
+
+def by_gram(found: DataFrame) -> DataFrame:
+    """Postings as they are written: sorted by gram in each file, a common gram dealt over several."""
+    return found.repartition("gram", F.pmod(F.xxhash64("id"), F.lit(SALT))).sortWithinPartitions("gram")
+
+
+def named(table: DataFrame, grams: list[str] | None) -> DataFrame:
+    """Rows of some grams, read without the pages that have none of them; all rows if there are too many grams to name."""
+    if not grams:
+        return table
+    # Equalities, as the reader skips pages by them, and not by long lists.
+    tests = [F.col("gram") == g for g in sorted(grams)]
+    while len(tests) > 1:
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return table.filter(tests[0])
+
+
+def few_names(grams: DataFrame) -> list[str] | None:
+    """The grams of a request batch, if they are ``NAMED`` at most."""
+    found = [r["gram"] for r in grams.select("gram").distinct().limit(NAMED + 1).collect()]
+    return found if 0 < len(found) <= NAMED else None
+
+
 class TextIndex:
     """An index in a folder."""
 
@@ -80,18 +116,11 @@ class TextIndex:
     def build(cls, docs: DataFrame, fields: dict[str, Column], path: str) -> TextIndex:
         """Index the fields of all rows (``id`` and what the fields are made of).  Null fields are no texts."""
         spark = docs.sparkSession
-        ship(spark)
-        text = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.lower(c).alias("text")) for name, c in fields.items())))
-        rows = spread(docs.select("id", text.alias("f")).select("id", "f.field", "f.text").filter("text is not null"))
-        n = F.char_length("text")
-        size = sum((F.greatest(F.lit(0), n - (k - 1)) for k in range(LOW, HIGH + 1)), F.lit(0)).cast("long")
-        found = rows.withColumn("len", size).mapInArrow(_post, "id string, field string, len long, grams array<string>, tf array<int>")
-        # Of a text one row goes over from Python; its grams are spelled out here.
-        found = found.select("id", "field", "len", F.explode_outer(F.arrays_zip("grams", "tf")).alias("g")).select(F.col("g.grams").alias("gram"), "field", "id", F.col("g.tf").alias("tf"), "len")
-        found.repartition("gram", F.pmod(F.xxhash64("id"), F.lit(SALT))).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
+        rows, found = spelled(docs, fields)
+        by_gram(found).write.mode("overwrite").parquet(f"{path}/postings")
         written = spark.read.parquet(f"{path}/postings")
         written.filter("gram is not null").groupBy("gram", "field").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/grams")
-        rows.select("field", size.alias("len")).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/sizes")
+        rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/sizes")
         return cls(spark, path)
 
     @classmethod
@@ -108,11 +137,8 @@ class TextIndex:
 
     def having(self, grams: DataFrame) -> DataFrame:
         """Postings, at least those of some grams: of a few grams, the scan reads no others."""
-        named = [r["gram"] for r in grams.distinct().limit(NAMED + 1).collect()]
-        if not 0 < len(named) <= NAMED:
-            return self.postings
-        # Equalities, as the reader skips pages by them, and not by long lists.
-        tests = [F.col("gram") == g for g in sorted(named)]
-        while len(tests) > 1:
-            tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
-        return self.postings.filter(tests[0])
+        return named(self.postings, few_names(grams))
+
+    def frequencies(self, grams: DataFrame) -> DataFrame:
+        """``gram, field, df``, at least of some grams."""
+        return self.grams

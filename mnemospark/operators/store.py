@@ -108,7 +108,8 @@ def _lives(oplog: DataFrame) -> DataFrame:
     """
     once = oplog.dropDuplicates(["id", "seq"])
     start = F.max(F.when(F.col("op") == "add", F.col("seq")))
-    edges = once.groupBy("id").agg(F.coalesce(start, F.lit(-1)).alias("_from"), F.coalesce(F.max(F.when(F.col("op").isin("add", "recover"), F.col("seq"))), F.lit(-1)).alias("_since"))
+    retagged = F.coalesce(F.max(F.when(F.col("op") == "replace", F.col("seq"))), F.lit(-1))
+    edges = once.groupBy("id").agg(F.coalesce(start, F.lit(-1)).alias("_from"), retagged.alias("_tagged"), F.coalesce(F.max(F.when(F.col("op").isin("add", "recover"), F.col("seq"))), F.lit(-1)).alias("_since"))
     return once.join(edges, "id").filter(F.col("seq") >= F.col("_from"))
 
 
@@ -122,15 +123,15 @@ def fold(oplog: DataFrame) -> DataFrame:
     """The state that a log of operations leaves: ``id, value, tags, is_deleted, deleted_at``.
 
     A first delete hides a record, a recovery shows it again, a second delete removes it; an add after that begins anew.
-    The value is that of the last add or update.
+    The value is that of the last add, update or replacement; a replacement is an update that sets the tags, so that earlier added tags no longer count.
     """
     n, at = _deletes()
     return (
         _lives(oplog)
         .groupBy("id")
         .agg(
-            F.max_by("value", F.when(F.col("op").isin("add", "update"), F.col("seq"))).alias("value"),
-            F.array_sort(F.collect_set(F.when(F.col("op") == "tag", F.col("value")))).alias("tags"),
+            F.max_by("value", F.when(F.col("op").isin("add", "update", "replace"), F.col("seq"))).alias("value"),
+            F.array_sort(F.collect_set(F.when((F.col("op") == "tag") & (F.col("seq") > F.col("_tagged")), F.col("value")))).alias("tags"),
             n.alias("_n"),
             at.alias("deleted_at"),
         )

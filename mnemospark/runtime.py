@@ -51,6 +51,39 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in system.listStatus(where)] if system.exists(where) else []
 
 
+class Conflict(RuntimeError):
+    """Another writer made the file first."""
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Makes a small file that must not be there yet: it appears whole, and of several writers one succeeds."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where, system = _file(spark, path)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(draft), system.makeQualified(where), never)
+    except Exception as e:
+        system.delete(draft, False)
+        if exists(spark, path):
+            raise Conflict(path) from e
+        raise
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    return rows[0][0] if rows else ""
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, system = _file(spark, path)
+    system.delete(where, True)
+
+
 def mended(df: DataFrame) -> list[tuple[str, int, int]]:
     """The files that a table is read from, with their sizes and times of change."""
     out = []

@@ -6,10 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark import config
+from mnemospark import config, runtime
 from mnemospark.engine import Expired, MemoryEngine, NotDeleted, NotFound
 from mnemospark.functions import expressions as X
-from mnemospark.operators import chunking, clusters, embed, postings, search, store
+from mnemospark.operators import chunking, clusters, embed, postings, search, segments, store
 from mnemospark.schema import NIL
 from mnemospark.sources import files, fixtures
 from mnemospark.streaming import ingest
@@ -233,9 +233,9 @@ def test_text_index(spark, tmp_path, monkeypatch):
 
 def test_query_errors():
     assert search.parse("Two words (in all) \"quoted\"") == ["two", "words", "(in", "all)", '"quoted"']
-    for bad in ('"open', "(open", "shut)", ")("):
-        with pytest.raises(search.QueryError):
-            search.parse(bad)
+    assert search.parse('6" disk') == ['6"', "disk"] and search.parse("") == []
+    with pytest.raises(search.QueryError):
+        search.parse(None)
 
 
 def test_similar_pairs_in_blocks(spark, monkeypatch):
@@ -313,8 +313,9 @@ def test_engine(spark, tmp_path):
     assert [r["id"] for r in m.search("machine learning", min_score=0.1, cross_project=True).collect()][0] in (a, b)
     m.delete(b)
     assert m.get(b).first()["is_deleted"] and m.stats().first()["deleted"] == 1
-    m.delete(b)
+    assert m.delete(b) and not m.delete(b) and not m.delete("no")
     assert m.get(b).first() is None
+    assert m.search('6" (disk').count() >= 0
 
 
 def test_engine_changes(spark, tmp_path):
@@ -327,7 +328,7 @@ def test_engine_changes(spark, tmp_path):
     assert (r["content"], r["tags"], round(r["importance"], 6)) == ("new text about lakes", ["one", "two"], 0.4)
     hit = m.search("lakes", min_score=0.1, cross_project=True, mode="corrected").first()
     assert hit["id"] == a and hit["tags"] == ["one", "two"] and hit["is_chunked"] is False and m.vectors().count() == 2
-    for wrong, error in ((lambda: m.update("no", content="x"), NotFound), (lambda: m.recover("no"), NotFound), (lambda: m.recover(b), NotDeleted), (lambda: m.search("(open"), search.QueryError)):
+    for wrong, error in ((lambda: m.update("no", content="x"), NotFound), (lambda: m.recover("no"), NotFound), (lambda: m.recover(b), NotDeleted), (lambda: m.search(None), search.QueryError)):
         with pytest.raises(error):
             wrong()
     m.delete(b)
@@ -348,6 +349,94 @@ def test_engine_changes(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(id), EqualTo(id," in m.get(b)._jdf.queryExecution().toString()
 
 
+def test_engine_tags_after_update(spark, tmp_path):
+    m = MemoryEngine(spark, str(tmp_path / "store"))
+    a = m.add("text", tags=["a"])[0]
+    m.add_tag(a, "y")
+    m.update(a, tags=["x"])
+    assert m.get(a).first()["tags"] == ["x"]
+    m.add_tag(a, "z")
+    m.update(a, content="other")
+    assert sorted(m.get(a).first()["tags"]) == ["x", "z"]
+    m.compact()
+    m.update(a, tags=[])
+    assert m.get(a).first()["tags"] == []
+
+
+def test_engine_index_follows(spark, tmp_path):
+    """Each search adds one segment for what changed; a rebuild finds the same, and a compaction leaves one segment and one vector a record."""
+    m = MemoryEngine(spark, str(tmp_path / "store"))
+    a, b, c = (m.add(t, tags=["tag"])[0] for t in ("alpha river", "beta river", "gamma hills"))
+    key = lambda: sorted((r["id"], r["score"]) for r in search.bm25(m.index(), spark.createDataFrame([(0, None, "river alpha tag", None, True)], REQUEST)).collect())
+
+    def rebuilt():
+        docs = [r for r in m.memories().collect() if not r["is_deleted"]]
+        df = spark.createDataFrame([(r["id"], r["content"], r["tags"]) for r in docs], "id string, content string, tags array<string>")
+        index = segments.SegmentIndex(spark, str(tmp_path / f"whole{len(list(tmp_path.iterdir()))}"), {"content": F.col("content"), "tags": F.array_join("tags", " ")})
+        index.change(df)
+        return sorted((r["id"], r["score"]) for r in search.bm25(index, spark.createDataFrame([(0, None, "river alpha tag", None, True)], REQUEST)).collect())
+
+    assert key() == rebuilt() and {k for k, _ in key()} == {a, b, c}
+    m.update(b, content="beta alpha")
+    m.delete(a)
+    assert key() == rebuilt() and {k for k, _ in key()} == {b, c}
+    n = len(m.index().state["segments"])
+    m.recover(a)
+    m.update(c, tags=["other"])
+    m.compact()
+    assert key() == rebuilt() and {k for k, _ in key()} == {a, b} and n >= 1
+    assert len(m.index().state["segments"]) == 1 and len(list((tmp_path / "store/text/segments").iterdir())) == 1
+    assert spark.read.parquet(m._vectors()).count() == 3
+    m.add("delta river")
+    assert key() == rebuilt() and len(key()) == 3
+
+
+def test_segments_equal_a_rebuild(spark, tmp_path):
+    """After a hundred random adds, changes and removals, in batches, frequencies, sizes, postings and scores are those of an index made at once."""
+    rng = random.Random(8)
+    words = ["ab", "abc", "river", "rivers", "hill", "ürban", "aaaa", "x", ""]
+    fields = {"content": F.col("content"), "note": F.col("note")}
+    schema = "id string, content string, note string"
+    index, held = segments.SegmentIndex(spark, str(tmp_path / "s"), fields), {}
+    assert search.bm25(index, spark.createDataFrame([(0, None, "river", None, True)], REQUEST)).count() == 0
+    text = lambda: None if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.randrange(6)))
+    for _ in range(8):
+        added, removed = {}, {}
+        for _ in range(13):
+            key = f"m{rng.randrange(25)}"
+            if key in added or key in removed:
+                continue
+            if key in held:
+                removed[key] = held[key]
+            if key not in held or rng.random() < 0.6:
+                added[key] = (text(), text())
+        held = {k: v for k, v in held.items() if k not in removed} | added
+        rows = [spark.createDataFrame([(k, *v) for k, v in x.items()], schema) if x else None for x in (added, removed)]
+        index.change(*rows)
+    whole = segments.SegmentIndex(spark, str(tmp_path / "w"), fields)
+    whole.change(spark.createDataFrame([(k, *v) for k, v in held.items()], schema))
+    req = spark.createDataFrame([(0, None, "river abc", None, True), (1, None, "ürban aaaa hills", None, True)], REQUEST)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    every = spark.createDataFrame([(g,) for g in sorted({w[i : i + n] for w in words for n in (2, 3, 4) for i in range(len(w) - n + 1)})], "gram string")
+    for _ in range(2):
+        assert len(index.state["segments"]) <= 7
+        assert key(index.sizes) == key(whole.sizes)
+        assert key(index.frequencies(every)) == key(whole.frequencies(every))
+        assert key(index.having(every).filter("gram is not null")) == key(whole.having(every))
+        assert key(search.bm25(index, req)) == key(search.bm25(whole, req))
+        index.merge(everything=True)
+        assert len(index.state["segments"]) == 1 and not index.state["segments"][0]["dead"]
+    index.vacuum()
+    assert len(list((tmp_path / "s/segments").iterdir())) == 1
+    assert key(search.bm25(segments.SegmentIndex(spark, str(tmp_path / "s"), fields), req)) == key(search.bm25(whole, req))
+    # Of two writers that saw the same state, one fails.
+    one, two = (segments.SegmentIndex(spark, str(tmp_path / "w"), fields) for _ in range(2))
+    row = spark.createDataFrame([("new", "river", None)], schema)
+    one.change(row)
+    with pytest.raises(runtime.Conflict):
+        two.change(row)
+
+
 def test_engine_vectors_and_chunks(spark, tmp_path):
     m = MemoryEngine(spark, str(tmp_path / "store"))
     ids = m.add("river bank. " * 1200, tags=["t"])
