@@ -202,20 +202,26 @@ class MemoryEngine:
 
     # --- search ---
 
-    def _mark(self) -> list:
-        """The generation of the log and its last number: what a text index has seen."""
+    def _files(self) -> list:
+        """The generation of the log and how many files it has: they are only added, so this tells its state."""
         log = self._log()
-        return [log.rsplit("/", 1)[1], int(self.spark.read.schema(LOG).parquet(log).agg(F.max("seq")).first()[0] or 0)]
+        return [log.rsplit("/", 1)[1], sum(x.startswith("part-") for x in listed(self.spark, log))]
+
+    def _mark(self) -> list:
+        """What a text index has seen: ``_files`` and the last number."""
+        files = self._files()
+        return [*files, int(self.spark.read.schema(LOG).parquet(self._log()).agg(F.max("seq")).first()[0] or 0)]
 
     def index(self) -> SegmentIndex:
         """The text index of the live records, brought up to the log: one segment for all that changed since the last time."""
-        index, mark = SegmentIndex(self.spark, f"{self.path}/text", _fields()), self._mark()
-        if index.state["mark"] == mark:
+        index = SegmentIndex(self.spark, f"{self.path}/text", _fields())
+        if (index.state["mark"] or [])[:2] == self._files():
             return index
-        if index.state["mark"] is None or index.state["mark"][0] != mark[0]:
+        mark = self._mark()
+        if index.state["mark"] and index.state["mark"][0] != mark[0]:
             index.clear()
-        seen = (index.state["mark"] or [None, -1])[1]
-        log = self.spark.read.schema(LOG).parquet(self._log()).filter(F.col("seq") <= mark[1])
+        seen = (index.state["mark"] or [-1])[-1]
+        log = self.spark.read.schema(LOG).parquet(self._log()).filter(F.col("seq") <= mark[-1])
         if seen < 0:
             index.change(store.live(self._records(log)), mark=mark)
             return index

@@ -35,7 +35,7 @@ DEAD = "id string, seq long"
 
 
 class SegmentIndex:
-    """An index in a folder; ``fields`` are the texts of a record, by name.
+    """An index in a folder; ``fields`` are the texts of a record, by name.  Sizes of segments are numbers of texts.
 
     Null fields are no texts; an empty index and one without segments find nothing.
     """
@@ -79,19 +79,23 @@ class SegmentIndex:
             if rows is None:
                 continue
             texts, found = spelled(rows, self.fields)
+            n = 0
             for r in texts.groupBy("field").agg(F.count(F.lit(1)), F.sum("len")).collect():  # a row a field
+                n += r[1]
                 own = sizes.setdefault(r[0], [0, 0])
                 own[0], own[1] = own[0] + sign * r[1], own[1] + sign * r[2]
+            if not n:
+                continue
             if sign > 0:
-                has["postings"] = rows.count()
+                has["postings"] = n
                 by_gram(found.filter("gram is not null").withColumn("seq", F.lit(seq).cast("long"))).write.parquet(f"{self.path}/{name}/postings")
                 found = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings")
             else:
-                has["dead"] = rows.count()
+                has["dead"] = n
                 rows.select("id", F.lit(seq).cast("long").alias("seq")).write.parquet(f"{self.path}/{name}/dead")
             part = found.filter("gram is not null").groupBy("gram", "field").agg((F.count(F.lit(1)) * sign).alias("df"))
             moves = part if moves is None else moves.unionByName(part).groupBy("gram", "field").agg(F.sum("df").alias("df"))
-        if moves is not None and (has["postings"] or has["dead"]):
+        if has["postings"] or has["dead"]:
             has["grams"] = 1
             moves.filter("df <> 0").sortWithinPartitions("gram").write.parquet(f"{self.path}/{name}/grams")
             segment = {"name": name, "low": seq, "high": seq, "sizes": sizes, **has}
@@ -121,8 +125,7 @@ class SegmentIndex:
     def _merge(self, chosen: list[dict]) -> None:
         others = [s for s in self.state["segments"] if s not in chosen]
         name = f"segments/{max(s['high'] for s in chosen):012d}-{uuid.uuid4().hex}"
-        alive = materialise(self._alive(self._read("postings", POSTINGS, chosen)), "alive")
-        by_gram(alive).write.parquet(f"{self.path}/{name}/postings")
+        by_gram(self._alive(self._read("postings", POSTINGS, chosen))).write.parquet(f"{self.path}/{name}/postings")
         self._read("grams", GRAMS, chosen).groupBy("gram", "field").agg(F.sum("df").alias("df")).filter("df <> 0").sortWithinPartitions("gram").write.parquet(f"{self.path}/{name}/grams")
         # A tombstone is needed while a segment elsewhere may hold a posting that it covers.
         oldest = min((s["low"] for s in others), default=math.inf)
@@ -136,8 +139,8 @@ class SegmentIndex:
             for field, (n, length) in s["sizes"].items():
                 own = sizes.setdefault(field, [0, 0])
                 own[0], own[1] = own[0] + n, own[1] + length
-        records = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings").select("id").distinct().count()
-        merged = {"name": name, "low": min(s["low"] for s in chosen), "high": max(s["high"] for s in chosen), "sizes": sizes, "postings": records, "grams": 1, "dead": kept}
+        alive = sum(s["postings"] for s in chosen) - sum(s["dead"] for s in chosen) + kept
+        merged = {"name": name, "low": min(s["low"] for s in chosen), "high": max(s["high"] for s in chosen), "sizes": sizes, "postings": max(alive, 1), "grams": 1, "dead": kept}
         self._commit([*others, merged], self.state["seq"], self.state["mark"])
 
     def clear(self) -> None:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions import expressions as X
-from ..operators import chunking, clusters, embed, lifecycle, search, store
+from ..operators import chunking, clusters, embed, lifecycle, search, segments, store
 from ..schema import NIL
 from ..sources import files
 from ..sources import fixtures as fx
 from ..streaming import ingest
-from ..runtime import shared_dir
+from ..runtime import materialise, shared_dir
 from . import tables_sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -328,6 +328,25 @@ def bm25_filtered_corrected(s: SparkSession, d: str) -> DataFrame:
     return _hits(search.text_search(M(s, d), fx.requests(s, d), 10, _fields(), "corrected", search.in_text_scope()))
 
 
+_WHOLE = """requests AS (SELECT item_id AS qid, trim(regexp_replace(lower(text), '[.,]', '', 'g')) AS words FROM benchmark WHERE item_id % 20 = 0 UNION ALL SELECT -1, 'pinned')"""
+_CHANGED = "changed AS (SELECT id, content, CASE WHEN doc_id % 13 = 0 THEN list_append(tags, 'pinned') ELSE tags END AS tags FROM (SELECT *, CAST(split_part(id, '-', 5) AS BIGINT) AS doc_id FROM memories) WHERE doc_id % 17 <> 0)"
+
+
+@query(f"{MEM}, {_WHOLE}, {_CHANGED}, {S.bm25(FIELDS_SQL).replace('FROM memories', 'FROM changed')} SELECT qid, id, round(score, 6) AS score, rank FROM txt_all WHERE rank <= 10")
+def index_changes(s: SparkSession, d: str) -> DataFrame:
+    """All records are indexed; then the log's deletes take some out, and its tags change others: a segment each.  Whole items are the requests, and the added tag."""
+    index = segments.SegmentIndex(s, f"{shared_dir(s)}/mnemospark/text-{uuid.uuid4().hex}", _fields())
+    records, log = materialise(M(s, d).select("id", "content", "tags"), "records"), fx.oplog(s, d)
+    index.change(records)
+    gone = log.filter("op = 'delete'").select("id").distinct()
+    index.change(removed=records.join(gone, "id", "left_semi"))
+    tagged = records.join(gone, "id", "left_anti").join(log.filter("op = 'tag'").select("id", F.col("value").alias("tag")), "id")
+    index.change(tagged.select("id", "content", F.array_append("tags", F.col("tag")).alias("tags")), tagged)
+    items = fx.table(s, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.trim(F.regexp_replace(F.lower("text"), "[.,]", "")).alias("words"))
+    requests = items.unionByName(s.createDataFrame([(-1, "pinned")], "qid long, words string"))
+    return _hits(search.top(search.bm25(index, requests), 10, ["qid"]))
+
+
 # --- fusion and re-ranking -----------------------------------------------------------------------------------------
 
 _BRANCHES = f"{S.knn(min_score=MIN_SCORE, where=S.VECTOR_SCOPE)}, {S.bm25(FIELDS_SQL)}"
