@@ -14,7 +14,7 @@ from ..operators import chunking, clusters, embed, lifecycle, search, segments,
 from ..schema import NIL
 from ..sources import files
 from ..sources import fixtures as fx
-from ..streaming import ingest
+from ..streaming import folding, ingest
 from ..runtime import materialise, shared_dir
 from . import tables_sql as S
 
@@ -149,6 +149,12 @@ def upsert_stream(s: SparkSession, d: str) -> DataFrame:
     return ingest.ingested(fx.oplog(s, d)).select("id", "value", F.array_join("tags", ",").alias("tags"), "is_deleted", _day("deleted_at"))
 
 
+@query(_SQL["upsert_fold"])
+def upsert_stateful(s: SparkSession, d: str) -> DataFrame:
+    out = folding.folded(fx.oplog(s, d))
+    return out.select("id", "value", F.array_join("tags", ",").alias("tags"), "is_deleted", F.date_format("deleted_at", "yyyy-MM-dd HH:mm:ss").alias("deleted_at"))
+
+
 @query("SELECT CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 86400000000 AS BIGINT) AS day, user_id, count(*) AS access_count, CAST(max(epoch_us(ts)) AS BIGINT) AS last_accessed FROM events GROUP BY ALL")
 def access_stream(s: SparkSession, d: str) -> DataFrame:
     # Zone-less times are read as UTC whatever the session's zone is.
