@@ -213,30 +213,28 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _token_list(names: Column, first: Column, last: Column) -> Column:
-    """Names at places first to last, comma-joined."""
-    return F.when(first == last, F.get(names, last)).otherwise(F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(names, i)), ","))
+def _parts(names: Column, last: Column) -> Column:
+    """The names of each group, comma-joined; ``last`` has the places of the groups' last tokens."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(last, 1, F.size(last) - 1))
+    several = lambda p, q: F.array_join(F.transform(F.sequence(p + 1, q), lambda i: F.get(names, i)), ",")
+    return F.zip_with(before, last, lambda p, q: F.when(q - p == 1, F.get(names, q)).otherwise(several(p, q)))
 
 
 def _groups(x: Column) -> Column:
-    """Groups of a row: at the k-th common end, tokens go on from behind those of the end before to those that cover the byte before it."""
+    """Groups of a row: a common end closes the tokens of either side that cover the byte before it."""
 
-    def group(k: Column) -> Column:
-        part = lambda names, at: _token_list(x[names], F.when(k == 0, 0).otherwise(F.get(x[at], k - 1) + 1), F.get(x[at], k))
-        return F.concat(part("a", "to_a"), F.lit("|"), part("b", "to_b"))
+    def side(ids: str, covers: str) -> Column:
+        last = F.transform(x["common"], lambda e: F.get(x[covers], e - 1))
+        return _let(x[ids].cast("array<string>"), lambda names: _let(last, lambda places: F.when(F.size(places) > 0, _parts(names, places)).otherwise(F.array().cast("array<string>"))))
 
-    return F.array_join(F.transform(x["to_a"], lambda _, k: group(k)), ";")
+    return F.array_join(F.zip_with(side("a", "at_a"), side("b", "at_b"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """``id, n_a, n_b, n_groups, groups, links``: groups as ``a1,a2|b1;a3|b2,b3``; a link is its first id times ``SHIFT`` plus its second."""
-    at = lambda x, covers, e: F.get(x[covers], e - 1)
-    places = lambda x, covers: F.transform(x["common"], lambda e: at(x, covers, e))
-    names = lambda x: F.struct(x["a"].cast("array<string>").alias("a"), x["b"].cast("array<string>").alias("b"), places(x, "at_a").alias("to_a"), places(x, "at_b").alias("to_b"))
-    link = lambda x, e: F.get(x["a"], at(x, "at_a", e)).cast("long") * SHIFT + F.get(x["b"], at(x, "at_b", e))
-    body = lambda x: F.struct(
-        F.size(x["common"]).cast("long").alias("n_groups"), _let(names(x), _groups).alias("groups"), F.transform(F.array_union("a_ends", "b_ends"), lambda e: link(x, e)).alias("links")
-    )
+    cover = lambda x, covers, e: F.get(x[covers], e - 1)
+    link = lambda x, e: F.get(x["a"], cover(x, "at_a", e)).cast("long") * SHIFT + F.get(x["b"], cover(x, "at_b", e))
+    body = lambda x: F.struct(F.size(x["common"]).cast("long").alias("n_groups"), _groups(x).alias("groups"), F.transform(F.array_union("a_ends", "b_ends"), lambda e: link(x, e)).alias("links"))
     row = F.struct("a", "b", "at_a", "at_b", F.array_intersect("a_ends", "b_ends").alias("common"))
     return tokens.select("id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), _let(row, body).alias("r")).select("id", "n_a", "n_b", "r.*")
 
