@@ -6,6 +6,7 @@ One process writes at a time; any number may read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from .config import MemoryConfig, SearchConfig
 from .operators import chunking, embed, search, store
 from .operators.segments import SegmentIndex
-from .runtime import exists, listed, materialise
+from .runtime import age, delete, exists, listed, materialise
 from .schema import NIL, SCOPES, SOURCES
 
 LOG = T.StructType(
@@ -26,6 +27,7 @@ LOG = T.StructType(
 )
 VECTORS = T.StructType([T.StructField("id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("seq", T.LongType())])
 SETTINGS = T.StructType([T.StructField("seq", T.LongType()), T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+EMBEDDINGS = T.StructType([T.StructField("sha256", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 ACTIVE, PROJECTS = "active_project", "project:"
 
 
@@ -46,12 +48,13 @@ def _fields() -> dict[str, Column]:
 
 
 class MemoryEngine:
-    def __init__(self, spark: SparkSession, path: str, embedder: embed.Embedder | None = None, config: SearchConfig = SearchConfig(), memory: MemoryConfig = MemoryConfig()):
-        """Opens a store; its tables are made if they aren't there."""
+    def __init__(self, spark: SparkSession, path: str, embedder: embed.Embedder | None = None, config: SearchConfig = SearchConfig(), memory: MemoryConfig = MemoryConfig(), cache_seconds: int = 0):
+        """Opens a store; its tables are made if they aren't there.  Hits of a search are kept for ``cache_seconds``; the published program's documents say 300."""
         self.spark, self.path, self.config, self.memory = spark, path.rstrip("/"), config, memory
         self.embedder = embedder or embed.HashingEmbedder()
+        self.cache_seconds = cache_seconds
         self._seq = 0
-        for name, schema in (("log/00000000", LOG), ("vectors/00000000", VECTORS), ("settings", SETTINGS)):
+        for name, schema in (("log/00000000", LOG), ("vectors/00000000", VECTORS), ("settings", SETTINGS), (self._embeddings(), EMBEDDINGS)):
             if not exists(spark, f"{self.path}/{name}"):
                 spark.createDataFrame([], schema).write.parquet(f"{self.path}/{name}")
 
@@ -65,6 +68,10 @@ class MemoryEngine:
     def _log(self) -> str:
         return self._last("log")
 
+    def _embeddings(self) -> str:
+        """The table of texts that a model has embedded; a model is known by its ``name`` or its class, and its dimension."""
+        return f"embeddings/{getattr(self.embedder, 'name', type(self.embedder).__name__)}-{self.embedder.dimension}"
+
     def _vectors(self) -> str:
         return self._last("vectors")
 
@@ -190,11 +197,14 @@ class MemoryEngine:
         index.merge(everything=True)
         index.vacuum()
         self._compact_vectors()
+        delete(self.spark, f"{self.path}/results")
 
     def rebuild_vectors(self) -> int:
-        """Embeds the live records that have no vector, each distinct text once; how many there were."""
+        """Embeds the live records that have no vector; a text that was ever embedded so isn't embedded again.  How many there were."""
         rows = store.missing_vectors(self.memories(), self.vectors()).select("id", "content")
-        made, _ = embed.embedded_once(rows, self.embedder)
+        known = f"{self.path}/{self._embeddings()}"
+        made, fresh = embed.embedded_once(rows, self.embedder, cache=self.spark.read.schema(EMBEDDINGS).parquet(known).dropDuplicates(["sha256"]))
+        fresh.write.mode("append").parquet(known)
         made = store.accepted(made, self.embedder.dimension).select("id", "embedding", F.lit(self._next()).cast("long").alias("seq"))
         before = self.spark.read.schema(VECTORS).parquet(self._vectors()).count()
         made.write.mode("append").parquet(self._vectors())
@@ -242,8 +252,24 @@ class MemoryEngine:
     def search(self, text: str, k: int = 10, min_score: float = 0.5, mode: str = "parity", project: str | None = None, as_of: Column | None = None, merge_chunks: bool = False, **flags) -> DataFrame:
         """Hits of one request; with ``merge_chunks`` the parts of a split record are one hit with its whole text.
 
+        With ``cache_seconds`` hits are written and read again while they are younger than that and no record or vector has changed.
         A text that can't be read raises ``search.QueryError``."""
         search.parse(text)
+        if not self.cache_seconds:
+            return self._search(text, k, min_score, mode, project, as_of, merge_chunks, **flags)
+        asked = repr((text, k, min_score, mode, project, str(as_of), merge_chunks, sorted(flags.items()), self.config, self._embeddings(), self._files(), self._vector_files()))
+        path = f"{self.path}/results/{hashlib.sha256(asked.encode()).hexdigest()}"
+        old = age(self.spark, f"{path}/_SUCCESS")
+        if old is None or old > self.cache_seconds:
+            # The k hits are one file.
+            self._search(text, k, min_score, mode, project, as_of, merge_chunks, **flags).coalesce(1).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _vector_files(self) -> list:
+        folder = self._vectors()
+        return [folder.rsplit("/", 1)[1], sum(x.startswith("part-") for x in listed(self.spark, folder))]
+
+    def _search(self, text: str, k: int, min_score: float, mode: str, project: str | None, as_of: Column | None, merge_chunks: bool, **flags) -> DataFrame:
         wanted, include_global = search.scope_of(project, **flags)
         schema = "qid long, q array<float>, words string, project string, include_global boolean"
         request = self.spark.createDataFrame([(0, [float(x) for x in self.embedder.embed([text])[0]], text, wanted, include_global)], schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -79,6 +80,12 @@ def read_text(spark: SparkSession, path: str) -> str:
     return rows[0][0] if rows else ""
 
 
+def age(spark: SparkSession, path: str) -> float | None:
+    """Seconds since a file was written, nothing if there is none."""
+    where, system = _file(spark, path)
+    return time.time() - system.getFileStatus(where).getModificationTime() / 1000 if system.exists(where) else None
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where, system = _file(spark, path)
     system.delete(where, True)

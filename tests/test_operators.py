@@ -390,6 +390,30 @@ def test_engine_index_follows(spark, tmp_path):
     assert spark.read.parquet(m._vectors()).count() == 3
 
 
+def test_engine_caches(spark, tmp_path, monkeypatch):
+    """A repeated search reads no postings until a record changes or its time is over; a text is embedded once, whatever record it belongs to."""
+    m = MemoryEngine(spark, str(tmp_path / "store"), cache_seconds=300)
+    a = m.add("alpha river")[0]
+    ask = lambda: [r["id"] for r in m.search("alpha", min_score=0.0, cross_project=True).collect()]
+    assert ask() == [a]
+    with monkeypatch.context() as p:
+        p.setattr(m, "index", lambda: pytest.fail("the index was read"))
+        assert ask() == [a]
+        p.setattr(m, "cache_seconds", -1)
+        with pytest.raises(BaseException, match="index was read"):
+            ask()
+    m._op("add", "b", '{"id": "b", "content": "alpha hills", "tags": []}')
+    assert set(ask()) == {a, "b"}
+    m._op("add", "c", '{"id": "c", "content": "alpha hills", "tags": []}')
+    asked = []
+    monkeypatch.setattr(embed, "embedded", lambda rows, *args, f=embed.embedded: (asked.append(rows.count()), f(rows, *args))[1])
+    assert m.rebuild_vectors() == 2
+    m._op("add", "d", '{"id": "d", "content": "alpha hills", "tags": []}')
+    assert m.rebuild_vectors() == 1 and asked == [1, 0]
+    v = {r["id"]: r["embedding"] for r in m.vectors().collect()}
+    assert v["b"] == v["c"] == v["d"]
+
+
 def test_segments_equal_a_rebuild(spark, tmp_path):
     """After a hundred random adds, changes and removals, in batches, frequencies, sizes, postings and scores are those of an index made at once."""
     rng = random.Random(8)
