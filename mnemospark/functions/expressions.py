@@ -62,11 +62,6 @@ def ngrams(word: Column, low: int = 2, high: int = 4) -> Column:
     return F.concat(*(of(k) for k in range(low, high + 1)))
 
 
-def occurrences(text: Column, gram: Column) -> Column:
-    """Occurrences of a gram that do not overlap."""
-    return (F.char_length(text) - F.char_length(F.replace(text, gram, F.lit("")))) / F.char_length(gram)
-
-
 def hours_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("HOUR", earlier, later)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 MAX_BYTES, MIN_BYTES = 7500, 1000
-#: Ends of sentences in the order in which they are tried: by kind, not by place.
+#: Fixed values.  Ends of sentences in the order in which they are tried: by kind, not by place.
 SENTENCE_ENDS = tuple(s.encode() for s in ("？", "！", "。", "\n", "?", "!", "."))
 
 
