@@ -53,6 +53,20 @@ def ngram_count(text: Column, low: int = 2, high: int = 4) -> Column:
     return out.cast("long")
 
 
+#: Parameters of BM25: how soon repeats stop counting, and how much a text's length does.
+K1, B = 1.2, 0.75
+
+
+def bm25_part(idf: Column, tf: Column, length: Column, avg_length: Column) -> Column:
+    """What one word of some weight scores in one text."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
+
+
+def occurrences(text: Column, part: Column) -> Column:
+    """How often a text has a part, without overlaps."""
+    return ((F.char_length(text) - F.char_length(F.replace(text, part, F.lit("")))) / F.char_length(part)).cast("int")
+
+
 def ngrams(word: Column, low: int = 2, high: int = 4) -> Column:
     """All character n-grams of a word, repeats kept."""
     def of(k: int) -> Column:

@@ -88,15 +88,19 @@ def by_gram(found: DataFrame) -> DataFrame:
     return found.repartition("gram", F.pmod(F.xxhash64("id"), F.lit(SALT))).sortWithinPartitions("gram")
 
 
+def any_of(tests: list[Column]) -> Column:
+    """One condition of many, as a tree that isn't deep."""
+    while len(tests) > 1:
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
 def named(table: DataFrame, grams: list[str] | None) -> DataFrame:
     """Rows of some grams, read without the pages that have none of them; all rows if there are too many grams to name."""
     if not grams:
         return table
     # Equalities, as the reader skips pages by them, and not by long lists.
-    tests = [F.col("gram") == g for g in sorted(grams)]
-    while len(tests) > 1:
-        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
-    return table.filter(tests[0])
+    return table.filter(any_of([F.col("gram") == g for g in sorted(grams)]))
 
 
 def few_names(grams: DataFrame) -> list[str] | None:
@@ -108,6 +112,9 @@ def few_names(grams: DataFrame) -> list[str] | None:
 class TextIndex:
     """An index in a folder."""
 
+    #: The table that is written last.
+    last = "sizes"
+
     def __init__(self, spark: SparkSession, path: str):
         self.postings, self.grams, self.sizes = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "grams", "sizes"))
         self.path = path
@@ -127,12 +134,12 @@ class TextIndex:
     def open(cls, docs: DataFrame, fields: dict[str, Column], path: str) -> TextIndex:
         """The index in a folder; made if it isn't there or isn't whole."""
         spark = docs.sparkSession
-        return cls(spark, path) if exists(spark, f"{path}/sizes/_SUCCESS") else cls.build(docs, fields, path)
+        return cls(spark, path) if exists(spark, f"{path}/{cls.last}/_SUCCESS") else cls.build(docs, fields, path)
 
     @classmethod
     def of(cls, docs: DataFrame, fields: dict[str, Column]) -> TextIndex:
         """The index of a table's files as they are now, made once for each state of them."""
-        state = repr((mended(docs), sorted((k, str(c)) for k, c in fields.items()), docs.schema.json(), docs._jdf.queryExecution().analyzed().canonicalized().semanticHash()))
+        state = repr((cls.__name__, mended(docs), sorted((k, str(c)) for k, c in fields.items()), docs.schema.json(), docs._jdf.queryExecution().analyzed().canonicalized().semanticHash()))
         return cls.open(docs, fields, f"{shared_dir(docs.sparkSession)}/mnemospark/index-{hashlib.sha256(state.encode()).hexdigest()[:32]}")
 
     def having(self, grams: DataFrame) -> DataFrame:

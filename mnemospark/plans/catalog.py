@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions import expressions as X
-from ..operators import chunking, clusters, embed, lifecycle, search, segments, store
+from ..operators import chunking, clusters, embed, impacts, lifecycle, search, segments, store
 from ..schema import NIL
 from ..sources import files
 from ..sources import fixtures as fx
@@ -335,6 +335,19 @@ def bm25_filtered_corrected(s: SparkSession, d: str) -> DataFrame:
 
 
 _WHOLE = """requests AS (SELECT item_id AS qid, trim(regexp_replace(lower(text), '[.,]', '', 'g')) AS words FROM benchmark WHERE item_id % 20 = 0 UNION ALL SELECT -1, 'pinned')"""
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    """Whole items as requests, and a tag."""
+    items = fx.table(s, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.trim(F.regexp_replace(F.lower("text"), "[.,]", "")).alias("words"))
+    return items.unionByName(s.createDataFrame([(-1, "pinned")], "qid long, words string"))
+
+
+@query(f"{MEM}, {_WHOLE}, {S.bm25(FIELDS_SQL)} SELECT qid, id, round(score, 6) AS score, rank FROM txt_all WHERE rank <= 10")
+def bm25_bounded(s: SparkSession, d: str) -> DataFrame:
+    return _hits(search.bounded_bm25(impacts.ImpactIndex.of(M(s, d).select("id", "content", "tags"), _fields()), _items(s, d)))
+
+
 _CHANGED = "changed AS (SELECT id, content, CASE WHEN doc_id % 13 = 0 THEN list_append(tags, 'pinned') ELSE tags END AS tags FROM (SELECT *, CAST(split_part(id, '-', 5) AS BIGINT) AS doc_id FROM memories) WHERE doc_id % 17 <> 0)"
 
 
@@ -348,9 +361,7 @@ def index_changes(s: SparkSession, d: str) -> DataFrame:
     index.change(removed=records.join(gone, "id", "left_semi"))
     tagged = records.join(gone, "id", "left_anti").join(log.filter("op = 'tag'").select("id", F.col("value").alias("tag")), "id")
     index.change(tagged.select("id", "content", F.array_append("tags", F.col("tag")).alias("tags")), tagged)
-    items = fx.table(s, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.trim(F.regexp_replace(F.lower("text"), "[.,]", "")).alias("words"))
-    requests = items.unionByName(s.createDataFrame([(-1, "pinned")], "qid long, words string"))
-    return _hits(search.top(search.bm25(index, requests), 10, ["qid"]))
+    return _hits(search.top(search.bm25(index, _items(s, d)), 10, ["qid"]))
 
 
 # --- fusion and re-ranking -----------------------------------------------------------------------------------------
