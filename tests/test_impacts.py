@@ -42,12 +42,11 @@ def key(df):
 
 @pytest.mark.parametrize(("first", "few", "k"), [(64, True, 10), (4, False, 25)])
 def test_bounded_is_exact(made, monkeypatch, first, few, k):
-    """The same hits, scores and ranks, whatever is read first and however tables meet."""
+    """The same hits, scores and ranks, whatever is read first and whether or not grams and ids are named."""
     _, _, requests, index = made
     monkeypatch.setattr(search, "FIRST", first)
     if not few:
-        monkeypatch.setattr(search, "FEW_ROWS", 0)
-        monkeypatch.setattr(search, "WORDS", 0)
+        monkeypatch.setattr(search, "TRIED", 1)
         monkeypatch.setattr(impacts, "NAMED", 0)
         monkeypatch.setattr(postings, "NAMED", 0)
     got = key(search.bounded_bm25(index, requests, k))
@@ -69,13 +68,13 @@ def test_common_grams_are_read_in_part(spark, tmp_path):
     docs = spark.createDataFrame(rows, "id string, content string")
     index = impacts.ImpactIndex.build(docs, {"content": F.col("content")}, str(tmp_path / "i"))
     requests = spark.createDataFrame([(0, "river", None, True), (1, "river stone", None, True)], REQUEST)
-    asked = search.clauses(index, requests)
-    levels = search.first_levels(index, asked)
+    asked, blocks = search.clauses(index, requests)
+    levels = search.first_levels(asked, blocks)
     whole = {(r["gram"], r["field"]): r["df"] for r in index.grams.collect()}
     first = index.blocks.join(levels, ["gram", "field"]).filter("level >= low").agg(F.sum("n")).first()[0]
     best = search.top(search.bm25(index, requests), 10, ["qid"])
     least = best.groupBy("qid").agg(F.min("score").alias("least"))
-    cuts = search.bounded_levels(index, asked, search.materialise(least, "least"))
+    cuts = search.bounded_levels(asked, blocks, least)
     for qid in (0, 1):
         of = cuts.filter((F.col("qid") == qid) & F.col("low").isNotNull())
         read = index.blocks.join(of, ["gram", "field"]).filter("level >= low").agg(F.sum("n")).first()[0]
