@@ -236,18 +236,18 @@ def knn_filtered(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"{MVR} SELECT qid, id, round(list_cosine_similarity(embedding, q), 6) AS score FROM vectors, requests")
 def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
-    both = search.against_requests(fx.vectors(s, d), fx.requests(s, d))
-    return both.select("qid", "id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    cosine = lambda both: both.select("qid", "id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return search.against_requests(fx.vectors(s, d), fx.requests(s, d), then=cosine)
 
 
 @query(f"{MVR} SELECT qid, v.id FROM vectors v, requests WHERE {S.VECTOR_SCOPE}")
 def scope_vector(s: SparkSession, d: str) -> DataFrame:
-    return search.against_requests(fx.vectors(s, d), fx.requests(s, d), search.in_vector_scope()).select("qid", "id")
+    return search.against_requests(fx.vectors(s, d), fx.requests(s, d), search.in_vector_scope(), lambda both: both.select("qid", "id"))
 
 
 @query(f"{MVR} SELECT qid, v.id FROM vectors v, requests WHERE {S.TEXT_SCOPE}")
 def scope_fts(s: SparkSession, d: str) -> DataFrame:
-    return search.against_requests(fx.vectors(s, d), fx.requests(s, d), search.in_text_scope()).select("qid", "id")
+    return search.against_requests(fx.vectors(s, d), fx.requests(s, d), search.in_text_scope(), lambda both: both.select("qid", "id"))
 
 
 @query(f"{MEM}, {S.EMBEDDINGS} SELECT id FROM memories WHERE NOT is_deleted AND id NOT IN (SELECT id FROM embs)")
@@ -470,8 +470,9 @@ def jaccard_topk(s: SparkSession, d: str) -> DataFrame:
     """Of every record whose number is divisible by 20, the five whose previews are most like its own."""
     t = M(s, d).select("id", X.token_set(X.preview(F.col("content"))).alias("t"))
     asked = t.filter(F.substring("id", -12, 12).cast("long") % 20 == 0).select(F.col("id").alias("a"), F.col("t").alias("u"))
-    both = search.against_requests(t, asked, F.col("a") != F.col("id"))
-    return search.top(both.select("a", "id", F.round(X.jaccard(F.col("u"), F.col("t")), 6).alias("jaccard")), 5, ["a"], "jaccard").select("a", F.col("id").alias("b"), "jaccard", "rank")
+    like = F.round(X.jaccard(F.col("u"), F.col("t")), 6).alias("jaccard")
+    best = search.against_requests(t, asked, F.col("a") != F.col("id"), lambda both: search.top(both.select("a", "id", like), 5, ["a"], "jaccard"))
+    return best.select("a", F.col("id").alias("b"), "jaccard", "rank")
 
 
 # --- scores --------------------------------------------------------------------------------------------------------

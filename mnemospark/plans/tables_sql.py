@@ -32,9 +32,9 @@ EMBEDDINGS = f"embs AS (SELECT {uid('vec_id')} AS id, embedding FROM embeddings)
 
 VECTORS = f"""{EMBEDDINGS}, vectors AS (SELECT e.id, CAST(embedding AS DOUBLE[]) AS embedding, project_id, memory_type, tags, substr(content, 1, 200) AS preview, importance FROM embs e JOIN memories m ON e.id = m.id)"""
 
-REQUESTS = f"""requests AS (SELECT qid, q, words, CASE qid % 4 WHEN 3 THEN NULL WHEN 2 THEN '{NIL}' ELSE '{PROJECT}' END AS project, qid % 4 IN (0, 2) AS include_global FROM
-  (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 10) JOIN
-  (SELECT item_id AS qid, array_to_string((string_split_regex(trim(regexp_replace(lower(text), '[.,]', '', 'g')), '\\s+'))[1:3], ' ') AS words FROM benchmark WHERE item_id < 10) USING (qid))"""
+REQUESTS = f"""requests AS (SELECT qid, q, w[1] || ' ' || w[(len(w) + 1) // 2] || ' ' || w[len(w)] AS words, CASE qid // 20 % 4 WHEN 3 THEN NULL WHEN 2 THEN '{NIL}' ELSE '{PROJECT}' END AS project, qid // 20 % 4 IN (0, 2) AS include_global FROM
+  (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0) JOIN
+  (SELECT item_id * 20 AS qid, string_split_regex(trim(regexp_replace(lower(text), '[.,]', '', 'g')), '\\s+') AS w FROM benchmark) USING (qid))"""
 
 CHUNKS = f"""chunks AS (SELECT {uid('conv_id * 100 + turn + 2000000')} AS id, {uid('conv_id + 3000000')} AS chunk_group_id, turn AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS chunk_total,
   text AS content, [role] AS tags, (turn * 13 % 100) / 100.0::DOUBLE AS importance FROM conversations)"""

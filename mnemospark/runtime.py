@@ -136,20 +136,23 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < SMALL * cores else rows
 
 
-def against_requests(rows: DataFrame, requests: DataFrame, condition: Column | Callable[[], Column] | None = None) -> DataFrame:
-    """Every row beside every request that meets ``condition``.
+def against_requests(rows: DataFrame, requests: DataFrame, condition: Column | Callable[[], Column] | None = None, then: Callable[[DataFrame], DataFrame] = lambda both: both) -> DataFrame:
+    """Every row beside every request that meets ``condition``, and what ``then`` makes of it (all that belongs to one request comes to it at once).
 
-    The requests are written, so that they are made once.  A batch of ``BATCH`` at most is broadcast; of a larger one
-    ``BATCH`` at a time, in as many passes over the rows, so that rows stay where they are.
+    The requests are written, so that they are made once.  A batch of ``BATCH`` at most is broadcast; a larger one
+    ``BATCH`` at a time, in as many passes over the rows.  Each pass is a job of its own that writes its outcome, so rows stay where they are,
+    plans stay small, and a lost executor costs a part of one pass.
     """
     requests = materialise(requests, "requests")
+    on = condition if condition is not None else F.lit(True)
     n = requests.count()  # of Parquet footers
     if n <= BATCH:
-        return rows.join(F.broadcast(requests), condition if condition is not None else F.lit(True))
+        return then(rows.join(F.broadcast(requests), on))
     blocks = -(-n // BATCH)
     block = F.pmod(F.xxhash64(*requests.columns), F.lit(blocks))
-    out = None
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/mnemospark/passes-{uuid.uuid4().hex}"
     for b in range(blocks):
-        part = rows.join(F.broadcast(requests.filter(block == b)), condition if condition is not None else F.lit(True))
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = then(rows.join(F.broadcast(requests.filter(block == b)), on))
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(part.schema).parquet(path)

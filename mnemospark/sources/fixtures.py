@@ -86,11 +86,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten search requests: embedding, three words, and a scope each."""
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    """A search request of every vector whose id is divisible by 20: its embedding, the first, middle and last word of an item, and a scope."""
+    e = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[.,]", "")), r"\s+")
-    b = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, 3), " ").alias("words"))
-    k = F.col("qid") % 4
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("qid"), words.alias("w"))
+    n = F.size("w")
+    b = b.select("qid", F.array_join(F.transform(F.array(F.lit(1), F.floor((n + 1) / 2).cast("int"), n), lambda i: F.element_at("w", i)), " ").alias("words"))
+    k = F.floor(F.col("qid") / 20) % 4
     return e.join(b, "qid").select(
         "qid", "q", "words",
         F.when(k == 3, None).when(k == 2, F.lit(NIL)).otherwise(F.lit(PROJECT)).alias("project"),
