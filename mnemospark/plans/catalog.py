@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions import expressions as X
-from ..operators import chunking, clusters, embed, impacts, lifecycle, search, segments, store
+from ..operators import chunking, clusters, embed, impacts, lifecycle, lookup, maintained, search, segments, store
 from ..schema import NIL
 from ..sources import files
 from ..sources import fixtures as fx
-from ..streaming import folding, ingest
+from ..streaming import folding, ingest, schedule
 from ..runtime import materialise, shared_dir
 from . import tables_sql as S
 
@@ -76,6 +76,27 @@ def list_by_importance(s: SparkSession, d: str) -> DataFrame:
     return store.by_importance(M(s, d), 0.25, 0.5).select("id", "importance")
 
 
+def _lookup(s: SparkSession, d: str) -> lookup.LookupIndex:
+    return lookup.LookupIndex.build(M(s, d), f"{shared_dir(s)}/mnemospark/lookup-{uuid.uuid4().hex}")
+
+
+@query(f"{MEM} SELECT id, memory_type, content, project_id, is_deleted FROM memories WHERE CAST(right(id, 12) AS BIGINT) % 20 = 0")
+def lookup_ids(s: SparkSession, d: str) -> DataFrame:
+    """Every record whose number is divisible by 20, looked up by id."""
+    ids = M(s, d).select("id").filter(F.substring("id", -12, 12).cast("long") % 20 == 0)
+    return _lookup(s, d).fetch(ids).select("id", "memory_type", "content", "project_id", "is_deleted")
+
+
+@query(_SQL["list_by_tag"])
+def lookup_tag(s: SparkSession, d: str) -> DataFrame:
+    return _lookup(s, d).by_tag("critical").select("id", F.array_join(F.sort_array("tags"), ",").alias("tags"))
+
+
+@query(_SQL["list_by_importance"])
+def lookup_importance(s: SparkSession, d: str) -> DataFrame:
+    return _lookup(s, d).by_importance(0.25, 0.5)
+
+
 @query(f"{MEM} SELECT id, {_day_sql('deleted_at')} FROM memories WHERE is_deleted")
 def list_deleted(s: SparkSession, d: str) -> DataFrame:
     return store.deleted(M(s, d)).select("id", _day("deleted_at"))
@@ -535,6 +556,63 @@ def importance_hist(s: SparkSession, d: str) -> DataFrame:
     return store.importance_histogram(M(s, d))
 
 
+def _maintained(s: SparkSession, d: str) -> maintained.MaintainedStats:
+    """All records are counted; then the hidden ones go, and type and importance of others change."""
+    out = maintained.MaintainedStats(s, f"{shared_dir(s)}/mnemospark/stats-{uuid.uuid4().hex}")
+    records = materialise(M(s, d).select("id", "memory_type", "project_id", "importance", "is_deleted", "content", "last_accessed"), "records")
+    n = F.substring("id", -12, 12).cast("long")
+    out.change(records)
+    out.change(removed=records.filter(n % 17 == 0))
+    other = records.filter((n % 13 == 0) & (n % 17 != 0))
+    out.change(other.withColumn("memory_type", F.lit("knowledge")).withColumn("importance", F.lit(0.5)), other)
+    return out
+
+
+_NOW = f"""{MEM}, kept AS (SELECT CASE WHEN n % 13 = 0 THEN 'knowledge' ELSE memory_type END AS memory_type, CASE WHEN n % 13 = 0 THEN 0.5 ELSE importance END AS importance, project_id, is_deleted, content, last_accessed
+  FROM (SELECT *, CAST(right(id, 12) AS BIGINT) AS n FROM memories) WHERE n % 17 <> 0)"""
+
+
+def _kept_sql(name: str) -> str:
+    return _SQL[name].replace(MEM, _NOW).replace("FROM memories WHERE NOT is_deleted GROUP", "FROM kept WHERE NOT is_deleted GROUP").removesuffix(" FROM memories") + (" FROM kept" if _SQL[name].endswith(" FROM memories") else "")
+
+
+@query(_kept_sql("stats_corrected"))
+def maintained_stats(s: SparkSession, d: str) -> DataFrame:
+    return _maintained(s, d).stats()
+
+
+@query(_kept_sql("stats_rollup"))
+def maintained_rollup(s: SparkSession, d: str) -> DataFrame:
+    return _maintained(s, d).rollup().withColumn("level", F.col("level").cast("long"))
+
+
+@query(_kept_sql("project_counts"))
+def maintained_projects(s: SparkSession, d: str) -> DataFrame:
+    return _maintained(s, d).project_counts().select("project_id", "memory_count", _day("last_activity"))
+
+
+@query(_kept_sql("importance_hist"))
+def maintained_hist(s: SparkSession, d: str) -> DataFrame:
+    return _maintained(s, d).importance_histogram()
+
+
+_WEEK = 168 * 3_600_000_000
+_DUE_SQL = f"""WITH RECURSIVE {S.OPLOG}, r AS (SELECT coalesce(value, '-') AS project, epoch_us(ts) AS us FROM oplog WHERE op = 'add'), wm AS (SELECT max(us) - 86400000000 AS wm FROM r),
+t AS (SELECT project, min(us) AS t0 FROM r GROUP BY project), grid AS (SELECT project, task, unnest(range((t0 // step + 1) * step, wm, step)) AS due FROM t, wm, (VALUES ('cleanup', {_WEEK // 14}), ('recalculate', {_WEEK // 7}), ('consolidate', {_WEEK})) g(task, step)),
+weeks AS (SELECT project, us // {_WEEK} AS week, count(*) AS n FROM r GROUP BY ALL), looks AS (SELECT project, due, coalesce(n, 0) AS n FROM grid LEFT JOIN weeks USING (project) WHERE task = 'consolidate' AND week = due // {_WEEK} - 1
+  UNION ALL SELECT project, due, 0 FROM grid WHERE task = 'consolidate' AND NOT EXISTS (SELECT 1 FROM weeks w WHERE w.project = grid.project AND w.week = due // {_WEEK} - 1)),
+walk AS (SELECT project, due, n AS pending FROM looks JOIN (SELECT project, min(due) AS due FROM looks GROUP BY project) USING (project, due)
+  UNION ALL SELECT l.project, l.due, CASE WHEN w.pending >= 20 THEN 0 ELSE w.pending END + l.n FROM walk w JOIN looks l ON l.project = w.project AND l.due = w.due + {_WEEK})
+SELECT project, task, due, CAST(0 AS BIGINT) AS n FROM grid WHERE task <> 'consolidate' UNION ALL SELECT project, 'consolidate', due, CAST(pending AS BIGINT) FROM walk WHERE pending >= 20"""
+
+
+@query(_DUE_SQL)
+def upkeep_due(s: SparkSession, d: str) -> DataFrame:
+    """Upkeep of each project as the log's adds are replayed, up to a day before the last."""
+    adds = fx.oplog(s, d).filter("op = 'add'").select(F.coalesce("value", F.lit("-")).alias("project"), F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))).alias("ts"))
+    return schedule.replayed(adds, "1 day")
+
+
 # --- lifecycle -----------------------------------------------------------------------------------------------------
 
 _EXPIRED = f"is_deleted AND {S.days(S.AT, 'deleted_at')} > 30"
