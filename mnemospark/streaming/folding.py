@@ -4,7 +4,8 @@
 operation counts by its number, not by when it arrives, so any division into batches and any replay give the batch fold.  A hidden
 record has an event-time timer: once the watermark is past its time it is emitted as gone, without a scan of any table.
 
-A record's state is its last value, its tags, and the deletes since its last add, so it doesn't grow with its updates.
+A record's state is its last value, its tags, and the deletes since its last add, so it doesn't grow with its updates.  Records of one hash
+bucket share a state and a timer.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ..runtime import ship, shared_dir
 DAY_MS = 86_400_000
 #: Hidden records go once more than this many whole days have passed.
 KEPT_DAYS = 30
+#: Groups of records that share a state.
+BUCKETS = 1 << 11
 
 EMITTED = "id string, value string, tags array<string>, is_deleted boolean, deleted_at long, state string"
 NEW = {"add": -1, "recover": -1, "retag": -1, "at": -1, "value": None, "tags": {}, "deletes": {}, "expired": False}
@@ -60,46 +63,66 @@ def outcome(s: dict) -> tuple[str, int | None]:
     return ("soft", counted[0]) if counted else ("live", None)
 
 
-def emitted(key: str, s: dict) -> pd.DataFrame:
+def row_of(key: str, s: dict) -> tuple:
     state, at = outcome(s)
-    tags = sorted(t for t, seq in s["tags"].items() if seq > s["retag"])
-    return pd.DataFrame({"id": [key], "value": [s["value"]], "tags": [tags], "is_deleted": [state == "soft"], "deleted_at": pd.array([at], "Int64"), "state": [state]})
+    return key, s["value"], sorted(t for t, seq in s["tags"].items() if seq > s["retag"]), state == "soft", at, state
+
+
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["id", "value", "tags", "is_deleted", "deleted_at", "state"])
+    return out.astype({"deleted_at": "Int64"})
+
+
+def emitted(key: str, s: dict) -> pd.DataFrame:
+    return frame([row_of(key, s)])
+
+
+def due(s: dict, days: int) -> int | None:
+    """When a hidden record goes, in milliseconds."""
+    what, at = outcome(s)
+    return at // 1000 + (days + 1) * DAY_MS if what == "soft" else None
 
 
 def _folder(days: int):
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(NEW))
-        if state.hasTimedOut:
-            s["expired"] = True
-        else:
+        records = json.loads(state.get[0]) if state.exists else {}
+        now, touched = state.getCurrentWatermarkMs(), set()
+        if not state.hasTimedOut:
             for part in parts:
-                for row in part.itertuples(index=False):
-                    apply(s, int(row.seq), int(row.us), row.op, row.value)
-        what, at = outcome(s)
-        if what == "soft":
-            end = at // 1000 + (days + 1) * DAY_MS
-            if end <= state.getCurrentWatermarkMs():
+                for own, seq, us, op, value in zip(part["id"], part["seq"], part["us"], part["op"], part["value"], strict=True):
+                    s = records.get(own)
+                    if s is None:
+                        s = records[own] = {**NEW, "tags": {}, "deletes": {}}
+                    apply(s, int(seq), int(us), op, value)
+                    touched.add(own)
+        # The bucket's timer is that of the first of its records to go.
+        first = None
+        for own, s in records.items():
+            end = due(s, days)
+            if end is not None and end <= now:
                 s["expired"] = True
-            else:
-                state.update((json.dumps(s),))
-                state.setTimeoutTimestamp(end)
-                yield emitted(key[0], s)
-                return
-        state.update((json.dumps(s),))
-        yield emitted(key[0], s)
+                touched.add(own)
+            elif end is not None:
+                first = end if first is None else min(first, end)
+        state.update((json.dumps(records),))
+        if first is not None:
+            state.setTimeoutTimestamp(first)
+        if touched:
+            yield frame([row_of(own, records[own]) for own in sorted(touched)])
 
     return run
 
 
-def folding(operations: DataFrame, late: str, days: int = KEPT_DAYS) -> DataFrame:
+def folding(operations: DataFrame, late: str, days: int = KEPT_DAYS, buckets: int = BUCKETS) -> DataFrame:
     """A stream of operations (seq, ts, op, id, value) as a stream of records as they become: ``id, value, tags, is_deleted, deleted_at, state``.
 
-    Operations that are ``late`` behind the newest are left out by Spark.  Null numbers and ids are no operations.
+    Operations that are ``late`` behind the newest are left out by Spark.  Null numbers and ids are no operations.  State is kept for ``buckets`` of records, by a hash
+    of the id, since a call into Python for each record costs far more than its fold; the number must stay the same for a checkpoint.
     """
     ship(operations.sparkSession)
     rows = operations.filter("seq is not null and id is not null").select("id", "seq", "op", "value", F.col("ts").cast("timestamp").alias("ts"))
-    rows = rows.withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
-    return rows.groupBy("id").applyInPandasWithState(_folder(days), EMITTED, "state string", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("us", F.unix_micros("ts")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets))).withWatermark("ts", late)
+    return rows.groupBy("bucket").applyInPandasWithState(_folder(days), EMITTED, "state string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def keep(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -119,11 +142,11 @@ def current(spark: SparkSession, out: str, gone: bool = False) -> DataFrame:
     return last if gone else last.filter("state <> 'gone'").drop("state")
 
 
-def folded(operations: DataFrame, late: str = "3650 days", files: int = 4, days: int = KEPT_DAYS) -> DataFrame:
+def folded(operations: DataFrame, late: str = "3650 days", files: int = 4, days: int = KEPT_DAYS, buckets: int = BUCKETS) -> DataFrame:
     """A table of operations run through the stream, a file a batch, in whatever order."""
     spark = operations.sparkSession
     base = f"{shared_dir(spark)}/mnemospark/folding-{uuid.uuid4().hex}"
     operations.repartition(files).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(operations.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    keep(folding(stream, late, days), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    keep(folding(stream, late, days, buckets), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return current(spark, f"{base}/out")

@@ -78,3 +78,12 @@ def test_timers_end_hidden_records(spark, tmp_path):
     assert run() == {"old": ("live", "again"), "new": ("soft", "b"), "back": ("live", "d")}
     assert {r["id"] for r in folding.current(spark, str(tmp_path / "out")).collect()} == {"old", "new", "back"}
     assert folding.current(spark, str(tmp_path / "out")).filter(F.col("id") == "back").first()["tags"] == ["t"]
+
+
+def test_records_share_calls(spark, monkeypatch):
+    """Records of a bucket are folded by one call and keep what is theirs: any number of buckets gives the batch fold."""
+    rows = random_log(5, ids=40, n=300)
+    log = spark.createDataFrame(rows, LOG)
+    key = lambda df: sorted(tuple(map(str, (r["id"], r["value"], r["tags"], r["is_deleted"], r["deleted_at"]))) for r in df.collect())
+    assert folding.folded(log, files=2, buckets=3).count() > 3
+    assert key(folding.folded(log, files=2, buckets=3)) == key(store.fold(log))
