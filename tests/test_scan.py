@@ -66,3 +66,32 @@ def test_text_search_writes_no_postings(spark):
     (hits,) = [x for x in made if x.startswith("hits-")]
     assert spark.read.parquet(f"{shared_dir(spark)}/mnemospark/{hits}").count() <= 2 * 10 * 8
     assert got == key(search.top(search.bm25(postings.TextIndex.of(docs, fields), requests), 10, ["qid"]), "qid", "id", "score", "rank")
+
+
+def test_texts_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """A table of as many files as cores isn't dealt anew by a scan; one of a single file is."""
+    from mnemospark import runtime
+
+    monkeypatch.setattr(runtime, "TINY", 0)
+    rows = spark.range(800).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("text "), 9).alias("content"))
+    for files in (1, 8):
+        rows.repartition(files).write.parquet(f"{tmp_path}/{files}")
+    # Some bytes of each file suffice for a task of its own.
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)
+    try:
+        plan = lambda n: scan.spread(spark.read.parquet(f"{tmp_path}/{n}").select("id", F.lower("content").alias("t")))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan(1) and "Repartition" not in plan(8)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_many_words_in_passes(spark, monkeypatch):
+    """More words than a pass has: the texts are scanned again, no index is made."""
+    docs = spark.createDataFrame([(f"d{i:03d}", f"w{i % 7} v{i % 5} u{i % 3}" * (1 + i % 4), f"p{i % 2}", "note") for i in range(200)], "id string, content string, project_id string, memory_type string")
+    requests = spark.createDataFrame([(i, f"w{i % 7} v{i % 5}", f"p{i % 2}" if i % 3 else None, False) for i in range(12)], "qid long, words string, project string, include_global boolean")
+    found = lambda mode: key(search.text_search(docs, requests, 4, mode=mode, keep=search.in_text_scope()), "qid", "id", "score", "rank")
+    want = [found(m) for m in ("parity", "corrected")]
+    monkeypatch.setattr(search, "WORDS", 5)
+    before = set(listed(spark, f"{shared_dir(spark)}/mnemospark"))
+    assert [found(m) for m in ("parity", "corrected")] == want and all(want)
+    assert not [x for x in set(listed(spark, f"{shared_dir(spark)}/mnemospark")) - before if x.startswith("index-")]
