@@ -95,3 +95,16 @@ def test_many_words_in_passes(spark, monkeypatch):
     before = set(listed(spark, f"{shared_dir(spark)}/mnemospark"))
     assert [found(m) for m in ("parity", "corrected")] == want and all(want)
     assert not [x for x in set(listed(spark, f"{shared_dir(spark)}/mnemospark")) - before if x.startswith("index-")]
+
+
+def test_records_of_searches_need_no_join(spark, tmp_path):
+    """Texts meet no other table, unless a document has several labels: then it is several records, as in the whole table."""
+    from mnemospark.sources import fixtures as fx
+
+    spark.createDataFrame([(i, f"text {i}", "en", "src1") for i in range(6)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select timestamp_ntz'2024-01-01' as ts, 1L as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    for labels, joins in (([(1, 0), (2, 1), (None, 1), (None, 0)], False), ([(1, 0), (1, 1), (2, 1)], True)):
+        spark.createDataFrame(labels, "doc_id long, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        few, whole = fx.memories(spark, str(tmp_path), whole=False), fx.memories(spark, str(tmp_path))
+        assert ("Join" in few._jdf.queryExecution().optimizedPlan().toString()) == joins
+        assert key(few, "id", "content", "importance") == key(whole, "id", "content", "importance")
