@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chunk_dedup, decontam, minhash, textkit
+from mnemospark.llm import chunk_dedup, decontam, entry, minhash, textkit
 
 from .conftest import sample_rows
 
@@ -191,6 +191,25 @@ def test_repeated_passages(spark, docs):
     assert out[2] == texts[2] and len(out[5]) < len(texts[5]) - 200 and all(out[i] == texts[i] for i in (0, 1, 3, 4))
 
 
+def test_every_document_and_short_passages(spark, docs, tmp_path):
+    """The query has a row for each document; passages of few words stand beside the others."""
+    rng = np.random.default_rng(12)
+    own = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    long, short = own(60), [(own(15), (2, 4, 5)) for _ in range(6)]
+    rows = [(i, " ".join((own(50), *(x + " " + own(20) for x, ids in ((long, (1, 4)), *short) if i in ids), own(50))), "en", "s") for i in range(8)]
+    rows += [(20, None, "en", "s"), (21, "", "en", "s")]
+    docs(rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in entry.op3_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(r[0] for r in rows)
+    want = _plain_spans([r[:2] for r in rows], across=True, min_words=0)
+    for i, r in got.items():
+        of = [x for x in want if x[0] == i]
+        big, small = [x for x in of if x[4] >= chunk_dedup.SPAN_WORDS], [x for x in of if x[4] < chunk_dedup.SPAN_WORDS]
+        assert (r["n_spans"], r["repeated_words"], r["short_spans"], r["short_words"]) == (len(big), sum(x[4] for x in big), len(small), sum(x[4] for x in small))
+        assert r["short_bytes"] == sum(x[3] - x[2] for x in small) and r["first_doc_id"] == min((x[5] for x in big), default=None)
+    assert {i for i, r in got.items() if r["n_spans"]} == {1, 4} and got[2]["short_spans"] and got[5]["short_spans"]
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(0)
     x = rng.integers(97, 123, 20000).astype(np.uint8)
