@@ -83,6 +83,28 @@ def is_out(name: str, marks: str) -> bool:
     return any(_OUT_NAMES.intersection(parts) and not (parts[-1] == "header" and _OWN_HEADER.intersection(parts)) for parts in _names(marks))
 
 
+#: Tags are parsed and digested once a worker if they are no longer than this, as most recur.
+_SHORT = 256
+
+
+def _parse(t: str) -> tuple[tuple[Token, ...], str]:
+    """The tokens of a tag, none of a declaration; the element's name if its content is raw."""
+    if t.startswith(("<!", "<?")) or not (tag := _TAG.match(t)):
+        return (), ""
+    name = tag[2].lower()
+    if tag[1]:
+        return (("end", name, ""),), ""
+    start = ("start", name, _marks(tag[3]) if "=" in tag[3] else "")
+    if name in _VOID:
+        return (start,), ""
+    if tag[3].rstrip("> ").endswith("/") and name not in _RAW_ALWAYS:
+        return (start, ("end", name, "")), ""
+    return (start,), name if name in _RAW else ""
+
+
+_parse_short = functools.lru_cache(1 << 14)(_parse)
+
+
 def tokens(page: str) -> Iterator[Token]:
     """Start and end tags and raw text nodes, without comments and what scripts, styles and the like hold."""
     at, n = 0, len(page)
@@ -91,25 +113,25 @@ def tokens(page: str) -> Iterator[Token]:
         at, t = m.end(), m.group()
         if t[0] != "<" or t == "<":
             yield "text", t, ""
-        elif not t.startswith(("<!", "<?")) and (tag := _TAG.match(t)):
-            name = tag[2].lower()
-            if tag[1]:
-                yield "end", name, ""
-                continue
-            yield "start", name, _marks(tag[3]) if "=" in tag[3] else ""
-            closed = tag[3].rstrip("> ").endswith("/") and name not in _RAW_ALWAYS
-            if name in _VOID or closed:
-                if name not in _VOID:
-                    yield "end", name, ""
-            elif name in _RAW:
-                close = re.compile(rf"</{name}(?=[\s>/]|\Z)", re.I).search(page, at)
-                at = close.start() if close else n
+            continue
+        found, raw = _parse_short(t) if len(t) <= _SHORT else _parse(t)
+        yield from found
+        if raw:
+            close = re.compile(rf"</{raw}(?=[\s>/]|\Z)", re.I).search(page, at)
+            at = close.start() if close else n
 
 
-def digest(token: Token) -> int:
+def _digest(token: Token) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(token).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+_digest_short = functools.lru_cache(1 << 14)(_digest)
+
+
+def digest(token: Token) -> int:
+    return _digest_short(token) if token[0] != "text" and len(token[1]) + len(token[2]) <= _SHORT else _digest(token)
+
+
 def _identity(token: Token) -> Token | None:
     if token[0] != "text":
         return token
@@ -147,8 +169,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[0] = 0
             own = hashlib.blake2b(repr(sorted(texts)).encode(), digest_size=8).digest()
             which = int.from_bytes(own, "big", signed=True)
+            hashes = {n: int.from_bytes(hashlib.blake2b(own + b"|%d" % n, digest_size=8).digest(), "big") for n in set(seen.values())}
             for d, n in seen.items():
-                h = int.from_bytes(hashlib.blake2b(own + b"|%d" % n, digest_size=8).digest(), "big")
+                h = hashes[n]
                 row = (n, h & 0x3FFFFFFF, h >> 34, first[d] / max(k, 1))
                 rows[host, d, which] = max(row, rows.get((host, d, which), row))
         yield pa.RecordBatch.from_arrays(

@@ -124,6 +124,21 @@ def test_extract_split_articles(spark):
     assert got == {**want, 7: "Title n7 First n7 words A note. Second n7 words, longer ones, n7 Said n7 Last n7"}
 
 
+def test_extract_tags_once():
+    """A tag that recurs is parsed and digested once a worker, a very long one each time, to the same tokens."""
+    long = "x" * template_extract._SHORT
+    page = "<?x?><!DOCTYPE html><DIV Class='a b' id=c><br/><p>x<p >y</P><svg/><script src='</p>'>1<p></script></div><0 <" + f"<div class={long}>z</div>"
+    div = ("start", "div", "a b c")
+    want = [
+        div, ("start", "br", ""), ("start", "p", ""), ("text", "x", ""), ("start", "p", ""), ("text", "y", ""), ("end", "p", ""), ("start", "svg", ""), ("end", "svg", ""),
+        ("start", "script", ""), ("end", "script", ""), ("end", "div", ""), ("text", "<", ""), ("text", "0 ", ""), ("text", "<", ""), ("start", "div", long), ("text", "z", ""), ("end", "div", ""),
+    ]
+    assert list(template_extract.tokens(page)) == want and len({template_extract.digest(t) for t in want}) == len(set(want))
+    parsed, digested = template_extract._parse_short.cache_info(), template_extract._digest_short.cache_info()
+    assert list(template_extract.tokens(page * 3)) == want * 3 and template_extract.digest(div) == template_extract._digest(div)
+    assert template_extract._parse_short.cache_info().misses == parsed.misses and template_extract._digest_short.cache_info().misses == digested.misses
+
+
 def test_extract_markup():
     text = lambda page: template_extract.extract(page, None)
     assert text('<div class="content-with-sidebar"><article><p>a</p></article></div>') == "a"
