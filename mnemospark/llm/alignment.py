@@ -4,10 +4,10 @@ Python only tokenises: of a text it gives both sequences of ids and of the byte
 follows is built of Spark's higher-order functions and aggregations:
 
 1.  ``array_intersect`` of the two arrays of ends gives the ends of groups.
-2.  The tokenizer also says which token covers a byte, so a common end finds its tokens without a search, and
-    ``sequence`` runs over the tokens of a group.
+2.  The tokenizer also says which token covers a byte, so a common end finds its tokens without a search, and a group's
+    tokens are a slice.
 3.  Every end of either sequence closes one stretch of bytes that one token of each side covers, and no pair of tokens
-    has two such stretches: the union of ends lists the links.
+    has two such stretches: the ends of the first side and those that the second alone has (``array_except``) list the links.
 4.  An id pair's count is an aggregation over distinct pairs of documents.  Pairs of many documents are broadcast, ``HOT_PAIRS``
     of them at most; the others, each of few documents, meet their links by a join that has no hot keys.
 """
@@ -33,6 +33,8 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HOT_PAIRS = 1 << 20
 #: Characters of a text that are cut into words at once, and those of words whose tokens a worker keeps.
 PIECE, KEPT = 1 << 18, 1 << 22
+#: New words that the first tokenizer gets as one text.
+RUN = 4096
 #: Ids of the second tokenizer are below this.
 SHIFT = 1 << 20
 
@@ -110,10 +112,27 @@ class Tokens:
         for side in self.sides:
             side.forget()
 
+    def first(self, words: list[str], wholes: list[bytes]) -> list[list[int]]:
+        """The first tokenizer's ids of each word.  Words go over in runs, as a call for each takes longer than its tokens, and part where their bytes end."""
+        coded: list[list[int] | None] = [None] * len(words)
+        joined = [i for i, w in enumerate(words) if w and not (w[0].isspace() or w[-1].isspace())]
+        for at in range(0, len(joined), RUN):
+            own = joined[at : at + RUN]
+            ids = self.a.encode_batch_fast([" " + " ".join(words[i] for i in own)], add_special_tokens=False)[0].ids
+            ends, to = np.cumsum(self.sides[0].widths[ids]), np.cumsum([len(wholes[i]) for i in own])
+            last = np.searchsorted(ends, to)
+            if last[-1] == len(ends) - 1 and (ends[last] == to).all():
+                bounds = (last + 1).tolist()
+                for i, p, q in zip(own, [0, *bounds[:-1]], bounds, strict=True):
+                    coded[i] = ids[p:q]
+        alone = [i for i, x in enumerate(coded) if x is None]
+        for i, x in zip(alone, self.a.encode_batch_fast([" " + words[i] for i in alone], add_special_tokens=False), strict=True):
+            coded[i] = x.ids
+        return coded
+
     def learn(self, words: list[str]) -> None:
         at, wholes = len(self.places), [b" " + w.encode("utf-8", "surrogatepass") for w in words]
-        a = [x.ids for x in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        good = [side.add(coded, wholes) for side, coded in zip(self.sides, (a, self.b.encode(words, num_threads=1)), strict=True)]
+        good = [side.add(coded, wholes) for side, coded in zip(self.sides, (self.first(words, wholes), self.b.encode(words, num_threads=1)), strict=True)]
         self.good = _room(self.good, at + len(words))
         self.good[at : at + len(words)] = good[0] & good[1]
         self.places.update(zip(words, range(at, at + len(words)), strict=True))
@@ -155,9 +174,14 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays])))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
+
+
+def _covers(ends: np.ndarray) -> np.ndarray:
+    """Before each byte, and after the last, the place of the token over the byte before; of what stands before the first byte -1."""
+    return np.repeat(np.arange(-1, len(ends), dtype=np.int32), np.concatenate(([1], np.diff(ends, prepend=0))).astype(np.int64))
 
 
 def _joined(parts: list[list[np.ndarray] | None]) -> list[np.ndarray]:
@@ -176,7 +200,7 @@ _LOADED: dict[str, Tokens] = {}
 
 
 def tokenised(documents: DataFrame, id_col: str, text_col: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """``id, a, a_ends, b, b_ends, at_a, at_b``: ids of both tokenizers, the bytes of space+text at which their tokens end, and of each byte the place of the token over it."""
+    """``id, a, a_ends, b, b_ends, at_a, at_b``: ids of both tokenizers, the bytes of space+text at which their tokens end, and the place of the token that covers the byte before each of them."""
 
     def coded(known: Tokens, texts: list[str]) -> list[pa.Array]:
         found: list[list[list[np.ndarray] | None]] = [[] for _ in texts]
@@ -187,8 +211,7 @@ def tokenised(documents: DataFrame, id_col: str, text_col: str, tokenizers: str
             if len(text) > 2 * PIECE:
                 found[i] = [known.encode([words_of(x)])[0] for x in _pieces(text)]
         rows = [_joined(f) for f in found]
-        covers = [[np.repeat(np.arange(len(r[k])), np.diff(r[k], prepend=0)) for r in rows] for k in (1, 3)]
-        return [*(_lists([r[k] for r in rows]) for k in range(4)), *map(_lists, covers)]
+        return [*(_lists([r[k] for r in rows], (pa.int64(), pa.int32())[k % 2]) for k in range(4)), *(_lists([_covers(r[k]) for r in rows], pa.int32()) for k in (1, 3))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizers not in _LOADED:
@@ -205,38 +228,38 @@ def tokenised(documents: DataFrame, id_col: str, text_col: str, tokenizers: str
                 first = to
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, run, "id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, at_a array<int>, at_b array<int>")
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is made once, however often and however deep in lambdas ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return arrow_map(rows, run, "id long, a array<long>, a_ends array<int>, b array<long>, b_ends array<int>, at_a array<int>, at_b array<int>")
 
 
-def _parts(names: Column, last: Column) -> Column:
-    """The names of each group, comma-joined; ``last`` has the places of the groups' last tokens."""
-    before = F.concat(F.array(F.lit(-1)), F.slice(last, 1, F.size(last) - 1))
-    several = lambda p, q: F.array_join(F.transform(F.sequence(p + 1, q), lambda i: F.get(names, i)), ",")
-    return F.zip_with(before, last, lambda p, q: F.when(q - p == 1, F.get(names, q)).otherwise(several(p, q)))
+def _group(start: Column, end: Column) -> Column:
+    """The tokens of either side between two common ends, comma-joined."""
 
+    def own(names: str, covers: str) -> Column:
+        before, last = F.get(covers, start), F.get(covers, end)
+        return F.when(last - before == 1, F.get(names, last)).otherwise(F.array_join(F.slice(names, before + 2, last - before), ","))
 
-def _groups(x: Column) -> Column:
-    """Groups of a row: a common end closes the tokens of either side that cover the byte before it."""
-
-    def side(ids: str, covers: str) -> Column:
-        last = F.transform(x["common"], lambda e: F.get(x[covers], e - 1))
-        return _let(x[ids].cast("array<string>"), lambda names: _let(last, lambda places: F.when(F.size(places) > 0, _parts(names, places)).otherwise(F.array().cast("array<string>"))))
-
-    return F.array_join(F.zip_with(side("a", "at_a"), side("b", "at_b"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
+    return F.concat(own("a_names", "at_a"), F.lit("|"), own("b_names", "at_b"))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """``id, n_a, n_b, n_groups, groups, links``: groups as ``a1,a2|b1;a3|b2,b3``; a link is its first id times ``SHIFT`` plus its second."""
-    cover = lambda x, covers, e: F.get(x[covers], e - 1)
-    link = lambda x, e: F.get(x["a"], cover(x, "at_a", e)).cast("long") * SHIFT + F.get(x["b"], cover(x, "at_b", e))
-    body = lambda x: F.struct(F.size(x["common"]).cast("long").alias("n_groups"), _groups(x).alias("groups"), F.transform(F.array_union("a_ends", "b_ends"), lambda e: link(x, e)).alias("links"))
-    row = F.struct("a", "b", "at_a", "at_b", F.array_intersect("a_ends", "b_ends").alias("common"))
-    return tokens.select("id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), _let(row, body).alias("r")).select("id", "n_a", "n_b", "r.*")
+    """``id, n_a, n_b, n_groups, groups, links, n_links``: groups as ``a1,a2|b1;a3|b2,b3``; a link is its first id times ``SHIFT`` plus its second.
+
+    Sets and names are made in a projection of their own, as what stands in a call with a lambda is interpreted.
+    """
+    sets = tokens.select(
+        "*", F.array_intersect("a_ends", "b_ends").alias("common"), F.array_except("b_ends", "a_ends").alias("b_only"),
+        F.col("a").cast("array<string>").alias("a_names"), F.col("b").cast("array<string>").alias("b_names"),
+    )
+    n = F.size("common")
+    starts = F.concat(F.slice(F.array(F.lit(0)), 1, F.least(n, F.lit(1))), F.slice("common", 1, F.greatest(n - 1, F.lit(0))))
+    over = lambda ids, covers, e: F.get(ids, F.get(covers, e))
+    links = F.concat(
+        F.zip_with("a", "a_ends", lambda i, e: i * SHIFT + over("b", "at_b", e)), F.transform("b_only", lambda e: over("a", "at_a", e) * SHIFT + over("b", "at_b", e))
+    )
+    return sets.select(
+        "id", F.size("a_names").cast("long").alias("n_a"), F.size("b_names").cast("long").alias("n_b"), n.cast("long").alias("n_groups"),
+        F.array_join(F.zip_with(starts, "common", _group), ";").alias("groups"), links.alias("links"), (F.size("a") + F.size("b_only")).cast("long").alias("n_links"),
+    )
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -284,5 +307,5 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialise(rows.withColumns({"groups": shown(F.col("groups")), "row": F.monotonically_increasing_id()}), "aligned")
     counts = materialise(pair_counts(rows), "pair-counts")
     sums = counted(rows, counts, hot)
-    out = rows.select("row", F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "groups", F.size("links").cast("long").alias("n_links")).join(sums, "row", "left")
+    out = rows.select("row", F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "groups", "n_links").join(sums, "row", "left")
     return out.withColumns({"n_best": F.coalesce("n_best", F.lit(0)), "count_sum": F.coalesce("count_sum", F.lit(0))}).drop("row")

@@ -268,6 +268,33 @@ def test_alignment_of_pieces_and_forgotten_words(spark, monkeypatch):
         assert a_ends[-1] == b_ends[-1] == len((" " + t).encode())
 
 
+def test_new_words_are_encoded_in_runs(monkeypatch):
+    """Words that are new come to the first tokenizer in few texts, and have the tokens that each has alone; those with white space at an end go alone."""
+    monkeypatch.setattr(alignment, "RUN", 7)
+    known, calls = alignment.Tokens(alignment.TOKENIZERS), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    whole, known.a = known.a, Counting()
+    words = [*(f"w{i}x\u00e9{i * 7919}" for i in range(60)), " lead", "", "tail\n", "a  b", "\u65e5\u672c", "<|endoftext|>", "</s>", "don't", "x\ty"]
+    known.learn(words)
+    side = known.sides[0]
+    for i, w in enumerate(words):
+        assert side.ids[side.starts[i] : side.starts[i + 1]].tolist() == whole.encode(" " + w, add_special_tokens=False).ids
+    assert len(calls) <= len(words) // 7 + 5
+
+
+def test_sets_of_ends_are_not_interpreted(spark):
+    """Intersections, exceptions and names of tokens stand in a projection without lambdas."""
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    plan = alignment.aligned(alignment.tokenised(df, "doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    with_lambdas = [line for line in plan.splitlines() if "lambdafunction" in line]
+    assert with_lambdas and not any("array_intersect" in x or "array_except" in x or "array<string>" in x for x in with_lambdas)
+
+
 def test_alignment_given_documents(spark):
     rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     want = [(r["doc_id"], *x) for r, x in zip(rows, plain_alignment([r["text"] for r in rows]), strict=True)]
